@@ -1,0 +1,21 @@
+"""Registered queries of the corpus operators, each over its whole table with production parameters."""
+
+from __future__ import annotations
+
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession
+
+from spanforge.llm.common import table
+from spanforge.llm.ngram_jaccard import ngram_jaccard_join
+
+
+def op9_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngram_jaccard_join(table(spark, sf_dir, "documents"))
+
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op9_ngram_jaccard_join": op9_ngram_jaccard_join,
+}
+
+ORACLE_SQL: dict[str, str] = {}
