@@ -6,16 +6,53 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from spanforge.llm.bpe import bpe_encode
 from spanforge.llm.common import table
+from spanforge.llm.language_id import identify_languages
+from spanforge.llm.license_scan import license_scan, license_scan_sql
+from spanforge.llm.line_templates import drop_recurring_lines
+from spanforge.llm.mixing import mixing_rates
 from spanforge.llm.ngram_jaccard import ngram_jaccard_join
+from spanforge.llm.order_minhash import order_minhash
+
+
+def op1_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return license_scan(table(spark, sf_dir, "documents"))
+
+
+def op2_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return drop_recurring_lines(table(spark, sf_dir, "documents"))
+
+
+def op3_order_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return order_minhash(table(spark, sf_dir, "documents"))
+
+
+def op4_mixing_rates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing_rates(table(spark, sf_dir, "documents"))
+
+
+def op8_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return identify_languages(table(spark, sf_dir, "documents"))
 
 
 def op9_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_jaccard_join(table(spark, sf_dir, "documents"))
 
 
+def op10_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return bpe_encode(table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_license_scan": op1_license_scan,
+    "op2_line_dedup": op2_line_dedup,
+    "op3_order_minhash": op3_order_minhash,
+    "op4_mixing_rates": op4_mixing_rates,
+    "op8_language_id": op8_language_id,
     "op9_ngram_jaccard_join": op9_ngram_jaccard_join,
+    "op10_bpe": op10_bpe,
 }
 
-ORACLE_SQL: dict[str, str] = {}
+#: The other operators have no SQL: templates, tilting, sketches, forward sums and merges are tested against brute force.
+ORACLE_SQL: dict[str, str] = {"op1_license_scan": license_scan_sql()}
