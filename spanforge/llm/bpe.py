@@ -15,6 +15,7 @@ import numpy as np
 import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
+from pyspark.sql import types as T
 
 from spanforge.llm.common import map_batches, vocabulary_file
 
@@ -199,7 +200,7 @@ class Bpe:
         if len(self.cache) > _CACHE:
             self.cache.clear()
         cache = self.cache
-        missing = list(set().union(*chunks) - cache.keys())
+        missing = [c for c in set().union(*chunks) if c not in cache]
         parts = [[x.encode("utf-8", "replace") for x in self.pattern.findall(c)] for c in missing]
         words = list(set().union(*parts))
         known = dict(zip(words, self.encode_words(words)))
@@ -251,6 +252,19 @@ def bpe_encode(docs: DataFrame, vocabulary: str | None = None, verify: bool = Tr
     return map_batches(docs.select("doc_id", "text"), _encode(path, verify), schema, rows)
 
 
+def with_tokens(docs: DataFrame, vocabulary: str | None = None, rows: int = 500) -> DataFrame:
+    """The documents with all their columns and, in place of any of these names, ``tokens`` and ``n_tokens``."""
+    path = vocabulary or vocabulary_file(VOCABULARY)
+    kept = docs.drop("tokens", "n_tokens")
+    encode = _encode(path, False)
+
+    def run(batch: pa.RecordBatch) -> pa.RecordBatch:
+        new = encode(batch)
+        return pa.RecordBatch.from_arrays([*batch.columns, new.column("tokens"), new.column("n_tokens")], [*batch.schema.names, "tokens", "n_tokens"])
+
+    return map_batches(kept, run, T.StructType([*kept.schema.fields, T.StructField("tokens", T.ArrayType(T.IntegerType())), T.StructField("n_tokens", T.IntegerType())]), rows)
+
+
 def bpe_decode(encoded: DataFrame, vocabulary: str | None = None, rows: int = 500) -> DataFrame:
     """(doc_id, text) of rows with ``tokens``; null tokens give a null text."""
     path = vocabulary or vocabulary_file(VOCABULARY)

@@ -151,7 +151,7 @@ class Scorer:
         if len(self.rows) > _CACHE:
             self.rows.clear()
         split = [t.lower().split() for t in texts]
-        self.learn(list(set().union(*split) - self.rows.keys()))
+        self.learn([w for w in set().union(*split) if w not in self.rows])
         get = self.rows.__getitem__
         return [self.values[np.fromiter(map(get, s), np.int64, len(s))].sum(axis=0) for s in split]
 
