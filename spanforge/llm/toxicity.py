@@ -199,7 +199,7 @@ def fit(texts: list[str], toxic: list[int]) -> tuple[dict[str, float], float]:
     for t, y in kept:
         if y:
             positive.update(of(t))
-    least = max(2, -(-n1 // 200))
+    least = max(4, -(-n1 // 200))
     candidates = {f for f, c in positive.items() if c >= least}
     negative: Counter = Counter()
     for t, y in kept:
