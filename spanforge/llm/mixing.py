@@ -19,6 +19,8 @@ from spanforge.llm.common import written
 TEMPER = 0.8
 TOLERANCE = 1e-9
 MAX_STEPS = 50
+#: Multipliers beyond this size mean that the constraints can't be met.
+LARGEST = 12.0
 
 
 def _features(docs: DataFrame) -> DataFrame:
@@ -43,7 +45,8 @@ def solve(features: DataFrame, targets: dict | None = None, temper: float = TEMP
     """Multipliers of the dual: {"source": {...}, "lang": {...}, "tilt", "mean", "scale"}; None without tokens.
 
     Constraints: every source's tokens have its target share; every language keeps its share of the tokens,
-    and so does the token-weighted mean of log length. One row a source and language reaches the driver.
+    and so does the token-weighted mean of log length. Where a corpus can't meet them all, the mean length is
+    given up, then the languages; sources alone can always be met. One row a source and language reaches the driver.
     """
     moments = features.where("n_tokens > 0").agg(F.sum("n_tokens").alias("t"), F.sum(F.col("n_tokens") * F.log1p("n_tokens")).alias("m"), F.sum(F.col("n_tokens") * F.log1p("n_tokens") ** 2).alias("q")).first()
     if not moments.t:
@@ -72,8 +75,6 @@ def solve(features: DataFrame, targets: dict | None = None, temper: float = TEMP
         goal[at_l[lang]] += s0 / total
         goal[-1] += s1 / total
 
-    dual = np.zeros(n + m + 1)
-
     def state(x: np.ndarray, rows: list) -> tuple[float, np.ndarray, np.ndarray]:
         gradient, hessian, value = -goal.copy(), np.zeros((len(x), len(x))), -float(goal @ x)
         for s, lang, s0, s1, s2 in rows:
@@ -94,23 +95,34 @@ def solve(features: DataFrame, targets: dict | None = None, temper: float = TEMP
     def rows_at(tilt: float) -> list:
         return [(r.source, r.lang, r.s0, r.s1, r.s2) for r in _cells(features, tilt, mean, scale) if weights.get(r.source, 0) > 0]
 
-    value, gradient, hessian = state(dual, cells)
-    for _ in range(max_steps):
-        if np.abs(gradient).max() < tolerance:
-            break
-        # shares sum to one in either margin, so the Hessian is singular along one direction: least squares
-        direction = -np.linalg.lstsq(hessian, gradient, rcond=1e-12)[0]
-        size = 1.0
-        while size > 1e-6:
-            trial = dual + size * direction
-            if np.abs(size * direction).max() < 20:
-                after = state(trial, rows_at(trial[-1]))
-                if after[0] <= value + 1e-4 * size * float(gradient @ direction) + 1e-14:
-                    break
-            size /= 2
-        else:
+    def newton(free: np.ndarray) -> tuple[np.ndarray, float]:
+        """Multipliers, those that aren't free being 0, and the largest miss of a free constraint."""
+        dual = np.zeros(n + m + 1)
+        value, gradient, hessian = state(dual, cells)
+        for _ in range(max_steps):
+            if np.abs(gradient[free]).max() < tolerance:
+                break
+            # shares sum to one in either margin, so the Hessian is singular along one direction: least squares
+            direction = np.zeros(len(dual))
+            direction[free] = -np.linalg.lstsq(hessian[np.ix_(free, free)], gradient[free], rcond=1e-12)[0]
+            size = 1.0
+            while size > 1e-6:
+                trial = dual + size * direction
+                if np.abs(trial).max() < LARGEST:
+                    after = state(trial, rows_at(trial[-1]) if trial[-1] else cells)
+                    if after[0] <= value + 1e-4 * size * float(gradient @ direction) + 1e-14:
+                        break
+                size /= 2
+            else:
+                break
+            dual, (value, gradient, hessian) = trial, after
+        return dual, float(np.abs(gradient[free]).max())
+
+    # a corpus may be unable to meet all constraints: the one on length is given up first, then those on languages
+    for last in (n + m + 1, n + m, n):
+        dual, residual = newton(np.arange(last))
+        if residual < 1e-6:
             break
-        dual, (value, gradient, hessian) = trial, after
     least = min_rate(features, sources, languages, dual, at_s, at_l, mean, scale)
     return {
         "least": least,
@@ -119,7 +131,8 @@ def solve(features: DataFrame, targets: dict | None = None, temper: float = TEMP
         "tilt": float(dual[-1]),
         "mean": mean,
         "scale": scale,
-        "residual": float(np.abs(gradient).max()),
+        "residual": residual,
+        "constraints": last,
     }
 
 

@@ -164,13 +164,14 @@ def _verify(n: int, threshold: float):
 
 
 def _classes_and_pairs(docs: DataFrame, n, threshold, size, rows, step, tolerance) -> tuple[DataFrame, DataFrame]:
+    """Classes of equal sets (set_key, rep, ids, members, ...) and similar pairs of their representatives (a, b, jaccard)."""
     texts = docs.where("doc_id is not null and text is not null").select("doc_id", "text")
     features = written(
-        map_batches(texts, _features(n, size), "doc_id bigint, set_key binary, n_shingles int, sketch binary").where("set_key is not null").dropDuplicates(["doc_id", "set_key"]),
+        map_batches(texts, _features(n, size), "doc_id bigint, set_key binary, n_shingles int, sketch binary").where("set_key is not null"),
         "sketches",
     )
     classes = written(
-        features.groupBy("set_key").agg(F.min("doc_id").alias("rep"), F.array_sort(F.collect_set("doc_id")).alias("ids"), F.first("n_shingles").alias("n_shingles"), F.first("sketch").alias("sketch")),
+        features.groupBy("set_key").agg(F.min("doc_id").alias("rep"), F.array_sort(F.collect_set("doc_id")).alias("ids"), F.count(F.lit(1)).alias("members"), F.first("n_shingles").alias("n_shingles"), F.first("sketch").alias("sketch")),
         "classes",
     )
     bands = size // rows
@@ -237,10 +238,16 @@ def groups(classes: DataFrame, near: DataFrame) -> DataFrame:
 def drop_near_copies(docs: DataFrame, n: int = N, threshold: float = THRESHOLD, size: int = SIZE, rows: int = ROWS, step: int = STEP, tolerance: float = TOLERANCE) -> DataFrame:
     """The documents without those that are similar to one with a smaller doc_id in their group.
 
-    Groups are the connected components of the join. Documents that match nothing, null ones included, stay;
-    a doc_id that is repeated with the same text stays once, if it has a text with words.
+    Groups are the connected components of the join. Documents that match nothing, null ones and those without
+    words included, stay. Rows that repeat a doc_id, and have words, are one document: one of them stays.
     """
     classes, near = _classes_and_pairs(docs, n, threshold, size, rows, step, tolerance)
     dropped = written(groups(classes, near).where("doc_id <> keeper").select("doc_id").distinct(), "dropped")
-    stay = docs.join(checked_broadcast(dropped), "doc_id", "left_anti")
-    return stay.select(docs.columns)
+    stay = docs.join(checked_broadcast(dropped), "doc_id", "left_anti").select(docs.columns)
+    # repeated ids are rare: only their rows are shuffled
+    repeated = written(classes.where(F.col("members") > F.size("ids")).select(F.explode("ids").alias("doc_id")).distinct(), "repeated")
+    if not repeated.limit(1).count():
+        return stay
+    once = stay.join(checked_broadcast(repeated), "doc_id", "left_semi").select(docs.columns)
+    words = F.coalesce(F.col("text").rlike(r"(?U)\w"), F.lit(False))
+    return stay.join(checked_broadcast(repeated), "doc_id", "left_anti").select(docs.columns).unionByName(once.where(words).dropDuplicates(["doc_id"])).unionByName(once.where(~words))
