@@ -59,3 +59,8 @@ def normalised(term: Column, processor: str) -> Column:
 
 def normalised_literal(term: str, processor: str) -> str:
     return {"none": term, "lower": term.lower(), "accents": strip_accents(term), "drop_empty": term}[processor]
+
+
+def repaired(raw: Column) -> Column:
+    """Text of bytes, with [?] for each run that isn't UTF-8."""
+    return F.regexp_replace(F.make_valid_utf8(raw.cast("string")), "\ufffd+", "[?]")

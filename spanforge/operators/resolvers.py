@@ -158,3 +158,21 @@ def described(features: tuple[str, ...], pattern: str | None = None) -> Column:
     for f in features:
         out = F.replace(out, F.lit("${" + f + "}"), F.coalesce(F.col(f"`{f}`").cast("string"), F.lit("")))
     return out
+
+
+def ontology_described(ann_type: str, features: tuple[str, ...], local_names: bool = True, separator: str = "#") -> Column:
+    """The name in the first feature, with that in the second in brackets; the annotation type where the first is
+    null. Local names are what follows the first separator of a URI."""
+
+    def name(f: str) -> Column:
+        uri = F.col(f"`{f}`").cast("string")
+        at = F.instr(uri, separator)
+        return F.when(at > 0, uri.substr(at + len(separator), F.length(uri))).otherwise(uri) if local_names else uri
+
+    if not features:
+        return F.lit(ann_type)
+    out = name(features[0])
+    if len(features) > 1:
+        second = name(features[1])
+        out = F.when(second.isNotNull(), F.concat(out, F.lit(" ("), second, F.lit(")"))).otherwise(out)
+    return F.when(name(features[0]).isNotNull(), out).otherwise(F.lit(ann_type))

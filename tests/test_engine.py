@@ -225,3 +225,14 @@ def test_plans_have_no_range_join(world):
     for node in (Within(A, AB), Contains(AB, C), And((A, B))):
         plan = Compiler(index).hits(node)._jdf.queryExecution().executedPlan().toString()
         assert "NestedLoop" not in plan and "CartesianProduct" not in plan
+
+
+def test_descriptions_and_repair(spark):
+    from spanforge.functions.text import repaired
+    from spanforge.operators.resolvers import described, ontology_described
+
+    rows = spark.createDataFrame([("http://x#Paris", "http://y#City", bytearray(b"a\xff\xfeb")), (None, "z", bytearray(b"ok")), ("plain", None, None)], "a string, b string, c binary")
+    got = rows.select(ontology_described("Place", ("a", "b")).alias("o"), described(("a", "b")).alias("d"), described(("a", "b"), "[${a}|${b}]").alias("p"), repaired(F.col("c")).alias("r")).collect()
+    assert [r.o for r in got] == ["Paris (City)", "Place", "plain"]
+    assert got[0].d == "{a=http://x#Paris, b=http://y#City}" and got[1].d == "{b=z}" and got[2].p == "[plain|]"
+    assert [r.r for r in got] == ["a[?]b", "ok", None]
