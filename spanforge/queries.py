@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -13,6 +14,9 @@ from spanforge.operators.results import Search
 from spanforge.plans.ast import Annotation, Const, Constraint, Or, Term, Widened
 from spanforge.plans.compile import Compiler
 from spanforge.sources.corpus import conversation_index, corpus_index
+from spanforge.sources.index import IndexConfig, SpanIndex
+from spanforge.sources.storage import shared_folder
+from spanforge.streaming.ingest import indexed, ingest
 
 _RE = r"[\p{L}\p{M}\p{N}]+|[^\s\p{L}\p{M}\p{N}]"
 _BASE = f"""WITH arrays AS (SELECT doc_id, lang, source, n_chars, regexp_extract_all(lower(coalesce(text, '')), '{_RE}') AS ts FROM documents),
@@ -176,6 +180,22 @@ _terms(
 )
 
 
+def _streamed(spark: SparkSession, sf: str) -> DataFrame:
+    """Phrase hits on an index that a stream of the documents table has built."""
+    path = f"{sf}/documents.parquet"
+    schema, files = spark.read.parquet(path).schema, spark.read.parquet(path).inputFiles()
+    single = len(files) == 1 and files[0].endswith("/documents.parquet")
+    source = spark.readStream.schema(schema).option("maxFilesPerTrigger", 8)
+    stream = source.option("pathGlobFilter", "documents.parquet").parquet(sf) if single else source.parquet(path)
+    folder = f"{shared_folder(spark)}/stream-{uuid.uuid4().hex}"
+    ingest(stream.select("doc_id", "text"), f"{folder}/index", IndexConfig(), f"{folder}/state").trigger(availableNow=True).start().awaitTermination()
+    documents, postings = indexed(spark, f"{folder}/index")
+    return Search(SpanIndex(IndexConfig(), documents, postings, {}), "the and").hits()
+
+
+_register("stream_ingest", _streamed, ORACLE_SQL["span_phrase"])
+
+
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Phrase hits with their scores' parts left raw: the smallest query that uses parser, compiler and index."""
     return Search(corpus_index(spark, sf_dir), "the and").hits()
