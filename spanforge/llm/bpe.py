@@ -17,12 +17,12 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
-from spanforge.llm.common import map_batches, vocabulary_file
+from spanforge.llm.common import map_batches, take_memory, vocabulary_file
 
 VOCABULARY = "byte_bpe_50k.tiktoken"
 PATTERN = r"'(?:[sdmt]|ll|ve|re)| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 _CHUNK = re.compile(r"\s*\S+|\s+")
-_CACHE = 500_000
+_CACHE = 400_000
 _INF = np.int64(1) << np.int64(60)
 _NONE = (1 << 21) - 1
 
@@ -226,6 +226,7 @@ def _lists(ids: list[bytes | None]) -> pa.Array:
 
 def _encode(path: str, verify: bool):
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
+        take_memory("bpe", load.cache_clear)
         bpe, texts = load(path), batch.column("text").to_pylist()
         given = bpe.encode_batch([t for t in texts if t is not None])
         each = iter(given)
@@ -270,6 +271,7 @@ def bpe_decode(encoded: DataFrame, vocabulary: str | None = None, rows: int = 50
     path = vocabulary or vocabulary_file(VOCABULARY)
 
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
+        take_memory("bpe", load.cache_clear)
         bpe = load(path)
         texts = [None if x is None else bpe.decode(x) for x in batch.column("tokens").to_pylist()]
         return pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(texts, pa.string())], ["doc_id", "text"])

@@ -48,3 +48,17 @@ def map_batches(df: DataFrame, fn: Callable[[pa.RecordBatch], pa.RecordBatch | p
                 yield from out.to_batches() if isinstance(out, pa.Table) else [out]
 
     return df.mapInArrow(run, schema)
+
+
+_holder: tuple[str, Callable[[], None]] | None = None
+
+
+def take_memory(owner: str, release: Callable[[], None]) -> None:
+    """Called by an operator's task in a worker: what another operator remembered there is released.
+
+    Workers are reused from stage to stage, so a pipeline would else hold the caches of all its stages at once.
+    """
+    global _holder
+    if _holder is not None and _holder[0] != owner:
+        _holder[1]()
+    _holder = (owner, release)

@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from spanforge.llm.common import vocabulary_file
+from spanforge.llm.common import take_memory, vocabulary_file
 
 VOCABULARY = "piece_bpe_32k.model"
 SMOOTHING = 0.1
@@ -52,6 +52,7 @@ def pieces(path: str) -> Pieces:
 
 def _count(path: str):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        take_memory("language", _release)
         p = pieces(path)
         sums: dict[str, np.ndarray] = {}
         for batch in batches:
@@ -159,8 +160,14 @@ class Scorer:
 _scorers: dict[str, Scorer] = {}
 
 
+def _release() -> None:
+    _scorers.clear()
+    pieces.cache_clear()
+
+
 def _scorer(token: str, path: str, counts, smoothing: float) -> Scorer:
     """The scorer of a run, kept by the worker for its later tasks."""
+    take_memory("language", _release)
     if token not in _scorers:
         _scorers.clear()
         _scorers[token] = Scorer(pieces(path), counts.value, smoothing)

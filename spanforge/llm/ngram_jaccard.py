@@ -17,8 +17,8 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from spanforge.llm.common import checked_broadcast, map_batches, written
-from spanforge.llm.shingles import shingle_set, sketch
+from spanforge.llm.common import checked_broadcast, map_batches, take_memory, written
+from spanforge.llm.shingles import forget, shingle_set, sketch
 
 N = 3
 THRESHOLD = 0.5
@@ -53,6 +53,7 @@ def least_matches(threshold: float, tolerance: float, size: int, step: int) -> t
 
 def _features(n: int, size: int):
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
+        take_memory("shingles", forget)
         keys, counts, sketches = [], [], []
         for text in batch.column("text").to_pylist():
             s = shingle_set(text, n)
@@ -147,6 +148,7 @@ def jaccard(x: np.ndarray, y: np.ndarray) -> float:
 
 def _verify(n: int, threshold: float):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        take_memory("shingles", forget)
         for t in _grouped(batches, "task"):
             sets: dict[int, np.ndarray] = {}
             out: list[list] = [[], [], []]

@@ -11,8 +11,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from spanforge.llm.common import map_batches
-from spanforge.llm.shingles import mix, ngram_hashes, word_ids
+from spanforge.llm.common import map_batches, take_memory
+from spanforge.llm.shingles import forget, mix, ngram_hashes, word_ids
 
 K = 3
 LENGTH = 2
@@ -73,6 +73,7 @@ def order_minhash(docs: DataFrame, k: int = K, length: int = LENGTH, size: int =
     factors = multipliers(size)
 
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
+        take_memory("shingles", forget)
         texts = batch.column("text").to_pylist()
         values = [signature(t, k, length, factors) if t else np.empty(0, np.uint64) for t in texts]
         flat = np.concatenate(values) if values else np.empty(0, np.uint64)

@@ -8,7 +8,7 @@ import numpy as np
 import xxhash
 
 _WORD = re.compile(r"\w+")
-_CACHE_WORDS = 400_000
+_CACHE_WORDS = 250_000
 
 
 class WordHashes(dict):
@@ -24,6 +24,10 @@ class WordHashes(dict):
 _hashes = WordHashes()
 
 
+def forget() -> None:
+    _hashes.clear()
+
+
 def mix(x: np.ndarray) -> np.ndarray:
     """Finaliser of a 64-bit hash; spreads every input bit over the word."""
     x = x ^ (x >> np.uint64(33))

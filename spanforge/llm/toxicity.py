@@ -18,13 +18,15 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from spanforge.llm.common import map_batches
+from spanforge.llm.common import map_batches, take_memory
 
 #: Labelled documents, at most, on which the classifier is fitted: those of smallest hash of doc_id.
 SAMPLE_TOXIC, SAMPLE_CLEAN = 4000, 8000
 THRESHOLD = 0.5
 ORDER = 4
-_CACHE = 400_000
+_CACHE = 250_000
+#: Distinct words whose character runs are counted at once, and results that are held before they are added up.
+_FOLD, _HELD = 80_000, 8
 _WORD = re.compile(r"[^\W\d_]+")
 #: What a symbol may stand for.
 LEET = {"0": "o", "1": "il", "2": "z", "3": "e", "4": "a", "5": "s", "6": "g", "7": "t", "8": "b", "9": "g", "@": "a", "$": "s", "!": "i", "|": "il", "+": "t", "(": "c", "€": "e", "£": "l"}
@@ -42,6 +44,9 @@ _LETTER = re.compile(r"[^\W\d_]")
 _EDGE = re.compile(r"^(?:([^\w\s])\1{2,}|[\"«»“”#%&,;:?)\]}>])+|(?:([^\w\s])\2{2,}|[\"«»“”#%&,;:?!.)\]}>])+$")
 
 
+_scorers: dict[str, Scorer] = {}
+
+
 def _codes(text: str) -> np.ndarray:
     """12-bit character codes; letters beyond share the last one."""
     return np.minimum(np.frombuffer(text.encode("utf-32-le", "replace"), np.uint32), 4095).astype(np.int64)
@@ -65,24 +70,25 @@ def ngram_counts(words: Counter) -> tuple[np.ndarray, np.ndarray]:
     return keys, np.bincount(at, weight[ORDER - 1 :][real]).astype(np.int64)
 
 
-def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    words: Counter = Counter()
-    keys, counts = [], []
+def _added(parts: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray]:
+    keys, at = np.unique(np.concatenate([k for k, _ in parts]), return_inverse=True)
+    return keys, np.bincount(at, np.concatenate([c for _, c in parts]), len(keys)).astype(np.int64)
 
-    def fold() -> None:
-        k, c = ngram_counts(words)
-        keys.append(k)
-        counts.append(c)
-        words.clear()
 
+def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    take_memory("toxicity", _scorers.clear)
+    words: Counter = Counter()
+    parts: list[tuple[np.ndarray, np.ndarray]] = []
     for batch in batches:
         for text in batch.column("text").to_pylist():
             words.update(text.lower().split())
-            if len(words) > _CACHE:
-                fold()
-    fold()
-    unique, at = np.unique(np.concatenate(keys), return_inverse=True)
-    yield pa.RecordBatch.from_arrays([pa.array(unique), pa.array(np.bincount(at, np.concatenate(counts), len(unique)).astype(np.int64))], ["gram", "n"])
+            if len(words) > _FOLD:
+                parts.append(ngram_counts(words))
+                words.clear()
+                if len(parts) > _HELD:
+                    parts = [_added(parts)]
+    keys, counts = _added([*parts, ngram_counts(words)])
+    yield pa.RecordBatch.from_arrays([pa.array(keys), pa.array(counts)], ["gram", "n"])
 
 
 def character_counts(docs: DataFrame) -> tuple[np.ndarray, np.ndarray]:
@@ -281,11 +287,9 @@ class Scorer:
         return 1 / (1 + math.exp(-min(max(z, -30), 30))), terms
 
 
-_scorers: dict[str, Scorer] = {}
-
-
 def _scorer(token: str, shared) -> Scorer:
     """The scorer of a run, kept by the worker for its later tasks."""
+    take_memory("toxicity", _scorers.clear)
     if token not in _scorers:
         _scorers.clear()
         _scorers[token] = Scorer(*shared.value)
