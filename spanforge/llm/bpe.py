@@ -22,7 +22,7 @@ from spanforge.llm.common import map_batches, take_memory, vocabulary_file
 VOCABULARY = "byte_bpe_50k.tiktoken"
 PATTERN = r"'(?:[sdmt]|ll|ve|re)| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 _CHUNK = re.compile(r"\s*\S+|\s+")
-_CACHE = 400_000
+_CACHE = 150_000
 _INF = np.int64(1) << np.int64(60)
 _NONE = (1 << 21) - 1
 

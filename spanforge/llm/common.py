@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import ctypes
+import gc
 import os
 import uuid
 from collections.abc import Callable, Iterator
@@ -61,4 +63,8 @@ def take_memory(owner: str, release: Callable[[], None]) -> None:
     global _holder
     if _holder is not None and _holder[0] != owner:
         _holder[1]()
+        gc.collect()
+        # the C library keeps freed memory for itself unless asked; where it can't be asked, it stays
+        if trim := getattr(ctypes.CDLL(None), "malloc_trim", None):
+            trim(0)
     _holder = (owner, release)

@@ -8,7 +8,7 @@ import numpy as np
 import xxhash
 
 _WORD = re.compile(r"\w+")
-_CACHE_WORDS = 250_000
+_CACHE_WORDS = 120_000
 
 
 class WordHashes(dict):

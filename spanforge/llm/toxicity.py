@@ -24,7 +24,7 @@ from spanforge.llm.common import map_batches, take_memory
 SAMPLE_TOXIC, SAMPLE_CLEAN = 4000, 8000
 THRESHOLD = 0.5
 ORDER = 4
-_CACHE = 250_000
+_CACHE = 200_000
 #: Distinct words whose character runs are counted at once, and results that are held before they are added up.
 _FOLD, _HELD = 80_000, 8
 _WORD = re.compile(r"[^\W\d_]+")
