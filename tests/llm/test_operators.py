@@ -141,6 +141,20 @@ def test_line_templates_against_brute_force(spark):
         assert out[d].n_dropped == sum(x == d for x, _ in expected)
 
 
+def test_passages_of_short_documents_and_of_copied_ones_recur(spark):
+    rng = random.Random(11)
+    prose = lambda n: " ".join("".join(rng.choice("aeioulmnrst") for _ in range(7)) for _ in range(n))
+    short, copied, twice, changed = prose(60), prose(60), prose(60), [prose(12) for _ in range(9)]
+    rows = [(k, f"{short}\n{prose(40)}") for k in range(10)]
+    rows += [(10, short)]
+    rows += [(20 + 2 * k + c, text) for k in range(3) for text in [f"{prose(30)}\n{copied}\n{prose(30)}"] for c in range(2)]
+    rows += [(40 + k, f"{twice}\n{prose(60)}") for k in range(2)]
+    # versions of one document are no passage, however many there are
+    rows += [(50 + k, "\n".join([*changed[:k], prose(12), *changed[k + 1 :]])) for k in range(9)]
+    got = {(r.doc_id, r.line_no) for r in recurring_lines(spark.createDataFrame(rows, "doc_id bigint, text string")).collect()}
+    assert got == {(k, 0) for k in range(11)} | {(20 + k, 1) for k in range(6)}
+
+
 def test_line_templates_on_odd_rows(odd, empty):
     out = drop_recurring_lines(odd)
     assert sorted(map(str, (tuple(r) for r in out.drop("n_dropped").collect()))) == sorted(map(str, (tuple(r) for r in odd.drop("n_dropped").collect())))
