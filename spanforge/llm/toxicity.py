@@ -15,7 +15,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from spanforge.llm.common import map_batches, take_memory
@@ -246,31 +246,47 @@ def fit(texts: list[str], toxic: list[int]) -> tuple[dict[str, float], float]:
     return chosen, -0.65 * max(chosen.values(), default=0.0)
 
 
-def fitted(docs: DataFrame, labels: DataFrame, sample_toxic: int = SAMPLE_TOXIC, sample_clean: int = SAMPLE_CLEAN) -> tuple[dict[str, float], float]:
-    """Classifier of the labelled documents; of several labels of a document a toxic one counts."""
+def fitted(docs: DataFrame, labels: DataFrame, sample_toxic: int = SAMPLE_TOXIC, sample_clean: int = SAMPLE_CLEAN) -> tuple[tuple[dict[str, float], float], dict[str, tuple[dict[str, float], float]]]:
+    """Classifier of the labelled documents, and one of each language that has features of its own.
+
+    Of several labels of a document a toxic one counts. Within its language a word is as rare in clean
+    documents, and as frequent in toxic ones, as its readers know it; pooled, a large language hides that.
+    """
     each = labels.where("doc_id is not null and toxic is not null").groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
     order = (F.xxhash64("doc_id"), F.col("doc_id"))
     chosen = each.where("toxic = 1").orderBy(*order).limit(sample_toxic).unionByName(each.where("toxic = 0").orderBy(*order).limit(sample_clean))
-    rows = docs.where("text is not null").select("doc_id", "text").join(F.broadcast(chosen), "doc_id").select("text", "toxic").toArrow()
-    pairs = sorted(zip(rows.column("text").to_pylist(), rows.column("toxic").to_pylist()))[: sample_toxic + sample_clean]
-    return fit([t for t, _ in pairs], [y for _, y in pairs])
+    rows = docs.where("text is not null").select("doc_id", "text", _language(docs)).join(F.broadcast(chosen), "doc_id").select("text", "toxic", "lang").toArrow()
+    triples = sorted(zip(*(rows.column(c).to_pylist() for c in ("text", "toxic", "lang"))), key=lambda x: (*x[:2], x[2] or ""))[: sample_toxic + sample_clean]
+    by_language = {x: fit(*zip(*((t, y) for t, y, z in triples if z == x))) for x in sorted({z for *_, z in triples if z is not None})}
+    return fit([t for t, *_ in triples], [y for _, y, _ in triples]), {x: m for x, m in by_language.items() if m[0]}
+
+
+def _language(docs: DataFrame) -> Column:
+    """The stated language of a document; null in a table without languages."""
+    return (F.col("lang") if "lang" in docs.columns else F.lit(None)).cast("string").alias("lang")
 
 
 class Scorer:
-    """Weights of the features that a text has after restoring it; tokens are remembered."""
+    """Weights of the features that a text has after restoring it; tokens are remembered.
+
+    A text of a language with a classifier of its own has the higher of its and the common one's score.
+    """
 
-    def __init__(self, grams: np.ndarray, counts: np.ndarray, weights: dict[str, float], bias: float) -> None:
+    def __init__(self, grams: np.ndarray, counts: np.ndarray, weights: dict[str, float], bias: float, by_language: dict[str, tuple[dict[str, float], float]] | None = None) -> None:
         self.model, self.weights, self.bias = CharacterModel(grams, counts), weights, bias
+        self.by_language = by_language or {}
+        self.features = set(weights).union(*(w for w, _ in self.by_language.values()))
         self.cache: dict[str, tuple[str, ...]] = {}
 
     def hits(self, token: str) -> tuple[str, ...]:
-        return tuple(f for w in restored_words(token, self.model) for f in self.word(w))
+        """Words of a token that have a feature of any classifier."""
+        return tuple(w for w in restored_words(token, self.model) if not self.features.isdisjoint(word_features(w)))
 
-    def word(self, word: str) -> list[str]:
+    def word(self, word: str, weights: dict[str, float]) -> list[str]:
         """The feature of most weight of a word, if it has any."""
-        return sorted((f for f in word_features(word) if f in self.weights), key=lambda f: (-self.weights[f], f))[:1]
+        return sorted((f for f in word_features(word) if f in weights), key=lambda f: (-weights[f], f))[:1]
 
-    def score(self, text: str) -> tuple[float, list[str]]:
+    def score(self, text: str, lang: str | None = None) -> tuple[float, list[str]]:
         """Probability of being toxic, and the features that speak for it."""
         if len(self.cache) > _CACHE:
             self.cache.clear()
@@ -279,12 +295,17 @@ class Scorer:
         for t in tokens:
             if t not in self.cache:
                 self.cache[t] = self.hits(t)
-        found = {f for hits in map(self.cache.__getitem__, tokens) if hits for f in hits}
+        words = {w for hits in map(self.cache.__getitem__, tokens) if hits for w in hits}
         for m in _SPACED.finditer(text):
-            found.update(f for w in decode(m[0], self.model).split() for f in self.word(w))
-        terms = sorted(found)
-        z = self.bias + sum(self.weights[f] for f in terms)
-        return 1 / (1 + math.exp(-min(max(z, -30), 30))), terms
+            words.update(decode(m[0], self.model).split())
+        best = None
+        for weights, bias in [(self.weights, self.bias), *([self.by_language[lang]] if lang in self.by_language else [])]:
+            terms = sorted({f for w in words for f in self.word(w, weights)})
+            z = bias + sum(weights[f] for f in terms)
+            # a classifier without features knows nothing
+            if best is None or (weights and (z > best[0] or not self.weights)):
+                best = z, terms
+        return 1 / (1 + math.exp(-min(max(best[0], -30), 30))), best[1]
 
 
 def _scorer(token: str, shared) -> Scorer:
@@ -298,15 +319,16 @@ def _scorer(token: str, shared) -> Scorer:
 
 def _model(docs: DataFrame, labels: DataFrame, sample_toxic: int, sample_clean: int):
     grams, counts = character_counts(docs)
-    weights, bias = fitted(docs, labels, sample_toxic, sample_clean)
-    return uuid.uuid4().hex, docs.sparkSession.sparkContext.broadcast((grams, counts, weights, bias))
+    (weights, bias), by_language = fitted(docs, labels, sample_toxic, sample_clean)
+    return uuid.uuid4().hex, docs.sparkSession.sparkContext.broadcast((grams, counts, weights, bias, by_language))
 
 
 def toxicity(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD, sample_toxic: int = SAMPLE_TOXIC, sample_clean: int = SAMPLE_CLEAN) -> DataFrame:
     """(doc_id, toxicity, is_toxic, terms) of every document.
 
     The character model counts all documents; the classifier is fitted on at most ``sample_toxic`` and
-    ``sample_clean`` documents of ``labels`` (doc_id, toxic). ``terms`` are the words, or with a caret the
+    ``sample_clean`` documents of ``labels`` (doc_id, toxic), and again on those of each ``lang``, if there is
+    such a column; the higher score counts. ``terms`` are the words, or with a caret the
     leading letters of words, that the score rests on. Without toxic or clean labels nothing is toxic.
 
     A null text has null toxicity and terms and isn't toxic; an empty one has no terms. Repeated rows and
@@ -316,14 +338,14 @@ def toxicity(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD, s
 
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
         s = _scorer(token, shared)
-        rows = [(None, None) if t is None else s.score(t) for t in batch.column("text").to_pylist()]
+        rows = [(None, None) if t is None else s.score(t, x) for t, x in zip(batch.column("text").to_pylist(), batch.column("lang").to_pylist())]
         scores = [x for x, _ in rows]
         return pa.RecordBatch.from_arrays(
-            [batch.column("doc_id"), pa.array(scores, pa.float64()), pa.array([x is not None and bool(s.weights) and x >= threshold for x in scores], pa.bool_()), pa.array([t for _, t in rows], pa.list_(pa.string()))],
+            [batch.column("doc_id"), pa.array(scores, pa.float64()), pa.array([x is not None and bool(s.features) and x >= threshold for x in scores], pa.bool_()), pa.array([t for _, t in rows], pa.list_(pa.string()))],
             ["doc_id", "toxicity", "is_toxic", "terms"],
         )
 
-    return map_batches(docs.select("doc_id", "text"), run, "doc_id bigint, toxicity double, is_toxic boolean, terms array<string>")
+    return map_batches(docs.select("doc_id", "text", _language(docs)), run, "doc_id bigint, toxicity double, is_toxic boolean, terms array<string>")
 
 
 def drop_toxic(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD, sample_toxic: int = SAMPLE_TOXIC, sample_clean: int = SAMPLE_CLEAN) -> DataFrame:
@@ -332,6 +354,7 @@ def drop_toxic(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD,
 
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
         s = _scorer(token, shared)
-        return batch.filter(pa.array([t is None or not s.weights or s.score(t)[0] < threshold for t in batch.column("text").to_pylist()], pa.bool_()))
+        langs = batch.column("lang").cast(pa.string()).to_pylist() if "lang" in batch.schema.names else [None] * batch.num_rows
+        return batch.filter(pa.array([t is None or not s.features or s.score(t, x)[0] < threshold for t, x in zip(batch.column("text").to_pylist(), langs)], pa.bool_()))
 
     return map_batches(docs, run, docs.schema)

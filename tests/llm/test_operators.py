@@ -254,6 +254,23 @@ def test_toxicity_drops_planted(spark):
     assert kept == {k for k in range(296) if k % 4}
 
 
+def test_toxicity_of_a_minority_language(spark):
+    rng = random.Random(12)
+    clean = lambda: " ".join("".join(rng.choice("aeioulmnrst") for _ in range(rng.randrange(3, 8))) for _ in range(50))
+    form = lambda: "achlich" + "".join(rng.choice("aeioulmnrst") for _ in range(6))
+    rows = []
+    # the stem is in all toxic documents of "de" and none of its clean ones, and in harmless words of "en"
+    for k in range(600):
+        rows.append((k, f"{clean()} grumf" if k % 6 == 0 else f"{clean()} {form()}" if k % 12 == 1 else clean(), "en"))
+    for k in range(600, 760):
+        rows.append((k, f"{clean()} {form()}" if k % 8 == 0 else clean(), "de"))
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string, lang string")
+    bad = {k for k in range(600) if k % 6 == 0} | {k for k in range(600, 760) if k % 8 == 0}
+    labels = spark.createDataFrame([(k, int(k in bad)) for k in [*range(400), *range(600, 700)]], "doc_id bigint, toxic int")
+    assert {r.doc_id for r in toxicity(docs, labels).where("is_toxic").collect()} == bad
+    assert {r.doc_id for r in drop_toxic(docs, labels).collect()} == set(range(760)) - bad
+
+
 def test_html_extraction(spark):
     rng = random.Random(4)
     prose = lambda n: " ".join("".join(rng.choice("aeioulmnrst") for _ in range(5)) for _ in range(n)) + "."
