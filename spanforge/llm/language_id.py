@@ -23,6 +23,8 @@ VOCABULARY = "piece_bpe_32k.model"
 SMOOTHING = 0.1
 _CACHE = 400_000
 _LONG = 60
+#: Characters after which the forward sums are brought back to 1, so that they don't underflow.
+_RESCALE = 8
 _MARK = "▁"
 
 
@@ -109,12 +111,18 @@ class Scorer:
             return self._forward_logs(words)
         alpha = np.zeros((length + 1, n, self.probability.shape[1]))
         alpha[0] = 1
+        scale = np.zeros(alpha.shape[1:])
         for i in range(length):
+            if i and i % _RESCALE == 0:
+                # what is behind i has been added on already, so the rest may be in units of it
+                unit = np.where(alpha[i] > 0, alpha[i], 1)
+                alpha[i : i + self.longest] /= unit
+                scale += np.log(unit)
             for j in range(i + 1, min(length, i + self.longest) + 1):
                 ids = self._ids(words, i, j)
                 if j == i + 1 or (ids <= self.unknown).any():
                     alpha[j] += alpha[i] * self.probability[ids]
-        return np.log(alpha[length])
+        return np.log(alpha[length]) + scale
 
     def _forward_logs(self, words: list[str]) -> np.ndarray:
         length, n = len(words[0]), len(words)
