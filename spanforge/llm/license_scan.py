@@ -8,7 +8,7 @@ import re
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from spanforge.llm.license_texts import LICENSES
+from spanforge.llm.license_texts import DIGESTS, LICENSES
 
 #: Spellings that count as equal, applied in this order to lower-case text.
 SPELLINGS = (
@@ -74,7 +74,8 @@ def canonical(text: str) -> str:
 
 def known_digests() -> dict[str, str]:
     """Digest of every known text -> its licence."""
-    return {hashlib.sha256(canonical(text).encode()).hexdigest(): name for name, texts in LICENSES.items() for text in texts}
+    short = {hashlib.sha256(canonical(text).encode()).hexdigest(): name for name, texts in LICENSES.items() for text in texts}
+    return short | {digest: name for name, digests in DIGESTS.items() for digest in digests}
 
 
 def license_scan(docs: DataFrame) -> DataFrame:

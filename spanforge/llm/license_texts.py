@@ -90,3 +90,88 @@ LICENSES: dict[str, list[str]] = {
     "CC0-1.0": _notices("CC0 1.0", "CC0 1.0 Universal"),
     "all-rights-reserved": ["All rights reserved."],
 }
+
+#: SHA-256 of the canonical form of long texts: whole, without title, without appendix or exhibits, as usually wrapped and
+#: with each paragraph on one line. Whole texts are those of /usr/share/common-licenses of Debian.
+DIGESTS: dict[str, list[str]] = {
+    "Apache-2.0": [
+        "ebc600199db9838b4fc2d5288a12598c2702142177a89b3443f5cc87b137d94b",
+        "81e9b74a977a0320a7f1118705e033ed557f3f7d1e88cac937c574ad075941aa",
+        "23c0498e738b86da84fa1ffb1ff43f4ef103f365367077ada18cd1db1813d6da",
+        "01bae72428daaa79c11a657b3ce6735f5b0057878a890789bcbb7db20083a61e",
+        "98378616989e23431b15181388a001fdeac0999db741918e302c5162392bcfbd",
+        "b0552a470b35ebc6a8191e79a1840fa5a6ae46978f1b8a1dbb6eb94002fbbeb2",
+        "58ec6d5fc2c7c861a0579bd8a4e4f832e00f68129358986346951d4c9157ac0b",
+        "22005e4d8ceb3b3b34d3f07bb1e94a16fbe7aafa0a37267d928d0a0b3d2d26ef",
+        "bf840bfb1d4747a470a249e523f0e37060577fd0fb407d329b3fcb22d928d3f6",
+        "06982b8f42e04f5550bc6fe2fdc29fd15df1647fcba0f3a507cff1fb89ebb0cb",
+        "f6931511538e880f8684cb1354eecadb866994d94b9c8656ce4bda088062d8c2",
+        "4c5fcc2e1edd982a5d2a0fbd43ff1794e9b2af54dae33483442a7ce88030a646",
+    ],
+    "GPL-2.0": [
+        "fb9cda6d3d24aaf9ebdd248927560e3150190f9a69ca16235922b53707048775",
+        "a0771202846b531ed3cb2cd05cede818563e92463ff2c2f51244ab4f0a129a83",
+        "178d586a448701f01712744f9de166175b5625d05f71dd532a3d694e2b935def",
+        "c67cc53030ae25fe2e2f0143b59060eca5ad89da8d2beca1445641234d29fc88",
+        "ae49934a47b15ec36e1ce1eb7504b3439c29f0e9be2ed0f60ba20ad7124dcb7c",
+        "1551b61aa183f987ecceedd8966ec1e9b2da3848f8862c2adedc0d82f41904ca",
+        "b2246dca9ac64fcbfffd5300cb3c240183df88d2d2df502b8c2490b682a7ae53",
+        "dd21434bee83e1ff9efa74f9938464c48745347f04877fa50f17b14d21421f72",
+        "18fccca4ba2b0f97c1804f0978e03ec0d8a1b8d1204f06382ccb0c6d9e84fae4",
+        "1a6314df2f1b575a5d85b1f2449d90edf9085f748178b506230a46a4ff5075d2",
+        "95dac50003820120c02d3f511c4bdc7397eff784fb6329840762ae5d498b8035",
+        "69da3f4eabbfbe9eee5464483b20baed123a4b12624331097a4428c49e2eb621",
+    ],
+    "GPL-3.0": [
+        "4a8a94321eef360bfaedf36722be08f204196c6825b0ff947b0388cae7268e6a",
+        "c10c5328b0bdb291364f31e834c1a8e342fbc1234448069f8b14c3343dde8531",
+        "1328f675e86a4ef30d04df0ccc382db5d00a020684e89b12e8c56931910dd015",
+        "458871fe6fdcfa19fbe9be515ba7fe95f116b785b20ff21a6b874342b8b4b665",
+        "ab649c0f1262bcbdc69500bd8133197e312a1a9f6f70370cbbcc10ffee38e92f",
+        "220423eafd02f3f132f849c78f9ed1cab6d0d8502af4e0727677a5badc55e3fc",
+        "1c6b8f28e779bed3eab3a025da38c5d643067c64338875b557d3a50ae3d9753f",
+        "f223c66c2c027cd0640fe66f9c71075640708122bc031f5d343259a8d73b3c46",
+        "733ea6e5c2ee526988e9979e43ef606bc08be7effa8de095c402cacacf13ee69",
+        "b53043373cf3e7a2203483ca57fd75601b3014f06a25f256e31ef94f9147973e",
+        "fbce0396b6e567a0fcf3092a68f44455cb39ca39b18bdc2ac0f8ba1f050a848f",
+        "ce8df5b8d2343a5f2a3420de01ce49415c7d9eb44a7d97d80c360af1a223cec3",
+    ],
+    "LGPL-2.1": [
+        "a85084b195866fe5aa81ee399a54444581dffa68e7bb2559e143718f6e2693bb",
+        "32ffbf880bdc9fe7f677b5c3a036ca44c943c3abe7a51d81c08cfc1502ac10fc",
+        "9bf9c99aeafbdbccd7456a00d574699e3deb41868375496cacbf170be719bebd",
+        "bf2f0c6bf1c47b3b1e3cbedeefecddd1e7db21d1919858d45c2f918efaf426df",
+        "963f79d48038eed98d8341c84d8d3b765e99508a738d00654c0112f70a7c370c",
+        "48d2010e70a815a564f914b0c7c1e80d7a6843793348fed3684c957112fe0aa4",
+        "faf10fdd9d5ca55e7bd09bf8e0213e8425c5ccb216bdeb7b40779cabf352960b",
+        "d8aa6f8f30dbbd661d824de6ae58f0d5242f0890058b40899a4087ad911f9531",
+        "368fdf0a3d97a758b90b6146ade423561754e31f1540437434047eac2d959e41",
+        "2ef2859ae4577e1d4a14d215abfe8c8b9f6e4ba7dca97a8b81b6c205bf62d7ad",
+        "446a8adc2da9c55e139c3564c793b6cc9741cfe224e9d47740bda2d268025527",
+        "73ac55304afe4c219acdd0cb7683daf4fe3772c9b493da4a095d93a7789311d5",
+    ],
+    "LGPL-3.0": [
+        "aae2b222477171fb64e298e7965e768a9a6f85320646b266c94399ac029d42be",
+        "3c109b32fc12cedb18f514c338498353cbbafbc7ad3aa3aed8c864396943f25a",
+    ],
+    "MPL-2.0": [
+        "9e79a7d513376f6fa1500e4df4f6276c6e7e61c5c3e28dcdb1acee24033acc56",
+        "d93233202a0668a0f31517049a3528a401f8f1f11163fb748b48624e00a39a1c",
+        "2cec6f733aa157c2d0b72e9669f75ca354f332218fcb5a3a885931f385272a04",
+        "69b2403d1e65116a809c153afcdfbd7189770071966d66fb94619c9dbe591b5f",
+        "cb61831d1e7c4eacf4c4c98e729f36a42dfc73a3180f25f9892e01a3e88b01e3",
+        "ca7b382f64ed5a1f3575a1155a15e37126b588324c47ecbbdc655deec0dd2408",
+        "d0c5ff4b1b1df9ae8ac7381433e58aaf10308f4e9fd6a32597b6b0e01220a0a6",
+        "2ffe1b02b10b3945db7edb98a4daa9c62ca2cc9a7e0510dfb0b06e6e5f79435b",
+        "fa31bb5fe4dacb07f1a4ad162be58edb552e9a96a500b68e081943eb2d3cfec5",
+        "48d4c0c134eba12fe76395f32d60c0a361aaff3d5c85fd71fd8f51717387d0cb",
+        "fdffabca9742653335fa87249b9974c90f4f111b3586ff20d72cd86920d6550d",
+        "c3401a518d8288c43362c07ff66da8ab84fba271fd805d57915f9df4d4c2675e",
+    ],
+    "CC0-1.0": [
+        "96bdc7f63190fb4bd1ae584b890300ed7517d858b34c945642a3b9b2f1612a5f",
+        "a142ae38742c8c4c35f5fa19e0a40ebfa60fc38535daf9c570ca3d7e012e1e32",
+        "e3ba2aff64372f535373996fe68b166f9e97dc1ead5b471981213ebb8f310ad6",
+        "4f8ab63ace774f37529081c81e2730a88143bf70e67392bd3c3701bd0a175152",
+    ],
+}

@@ -1,6 +1,7 @@
 """Corpus operators on small tables: odd rows in any column, and brute force where SQL has no words for them."""
 
 import itertools
+import os
 import random
 
 import numpy as np
@@ -74,6 +75,21 @@ def test_license_scan(spark, odd, empty):
         assert (hashlib.sha256(canonical(text).encode()).hexdigest() in names) == any(u == "document" and t == text for u, t in [("document", "All rights reserved.")])
 
 
+def test_license_scan_of_long_texts(spark):
+    folder = "/usr/share/common-licenses"
+    names = {"Apache-2.0": "Apache-2.0", "GPL-2": "GPL-2.0", "GPL-3": "GPL-3.0", "LGPL-2.1": "LGPL-2.1", "LGPL-3": "LGPL-3.0", "MPL-2.0": "MPL-2.0", "CC0-1.0": "CC0-1.0"}
+    if not all(os.path.exists(f"{folder}/{f}") for f in names):
+        pytest.skip("no texts on this machine")
+    rows = []
+    for k, f in enumerate(names):
+        with open(f"{folder}/{f}") as text:
+            rows.append((k, text.read()))
+    rows.append((10, rows[0][1].split("   END OF TERMS")[0]))
+    rows.append((11, rows[0][1].replace("perpetual", "short")))
+    got = {(r.doc_id, r.license) for r in license_scan(spark.createDataFrame(rows, "doc_id bigint, text string")).where("unit = 'document'").collect()}
+    assert got == {*enumerate(names.values()), (10, "Apache-2.0")}
+
+
 def brute_recurring(rows, min_docs=3, depth=3, min_tokens=4, similarity=0.6):
     """(doc_id, line_no) of recurring lines, by walking the tree line by line."""
     lines = []
