@@ -166,6 +166,16 @@ _terms("terms_or", lambda i: t.or_terms(t.documents_or(i, [1, 6]), t.documents_o
 _terms("terms_or_max", lambda i: t.or_terms(t.documents_or(i, [1, 6]), t.documents_or(i, [7, 9]), strategy="max"), _sql(_PAIR, f"SELECT coalesce(x.term, y.term) AS term, {_NULLS.format('greatest(x.c, y.c)')} FROM x FULL JOIN y ON x.term = y.term"))
 _terms("terms_or_min", lambda i: t.or_terms(t.documents_or(i, [1, 6]), t.documents_or(i, [7, 9]), strategy="min"), _sql(_PAIR, f"SELECT coalesce(x.term, y.term) AS term, {_NULLS.format('least(x.c, y.c)')} FROM x FULL JOIN y ON x.term = y.term"))
 _terms("terms_sorted", lambda i: t.sorted_terms(t.documents_or(i, [1, 6, 7])), _sql([_in_docs("x", 1, 6, 7)], f"SELECT term, {_NULLS.format('c')} FROM x"))
+# the same over the whole table: all terms with those that are no stop words, and lower-case terms with plain ones
+_RAW = "raws AS (SELECT doc_id, strip_accents(term) AS term FROM toks)"
+_WHOLE = ["x AS (SELECT term, count(*) AS c FROM toks GROUP BY term)", f"y AS (SELECT term, c FROM x WHERE term NOT IN ({_STOPS}))"]
+_KINDS = ["x AS (SELECT term, count(*) AS c FROM toks GROUP BY term)", _RAW, "y AS (SELECT term, count(*) AS c FROM raws GROUP BY term)"]
+_terms("terms_whole_and", lambda i: t.and_terms(t.term_type(i), t.term_type(i, stop_words=t.STOP_WORDS)), _sql(_WHOLE, f"SELECT x.term, {_NULLS.format('x.c')} FROM x JOIN y ON x.term = y.term"))
+_terms("terms_whole_and_sum", lambda i: t.and_terms(t.term_type(i), t.term_type(i, "plain"), strategy="sum"), _sql(_KINDS, f"SELECT x.term, {_NULLS.format('x.c + y.c')} FROM x JOIN y ON x.term = y.term"))
+_terms("terms_whole_or", lambda i: t.or_terms(t.term_type(i), t.term_type(i, "plain")), _sql(_KINDS, f"SELECT coalesce(x.term, y.term) AS term, {_NULLS.format('coalesce(x.c, y.c)')} FROM x FULL JOIN y ON x.term = y.term"))
+_terms("terms_whole_or_max", lambda i: t.or_terms(t.term_type(i), t.term_type(i, "plain"), strategy="max"), _sql(_KINDS, f"SELECT coalesce(x.term, y.term) AS term, {_NULLS.format('greatest(x.c, y.c)')} FROM x FULL JOIN y ON x.term = y.term"))
+_terms("terms_whole_or_min", lambda i: t.or_terms(t.term_type(i), t.term_type(i, "plain"), strategy="min"), _sql(_KINDS, f"SELECT coalesce(x.term, y.term) AS term, {_NULLS.format('least(x.c, y.c)')} FROM x FULL JOIN y ON x.term = y.term"))
+_terms("terms_whole_sorted", lambda i: t.sorted_terms(t.term_type(i)), _sql(_WHOLE[:1], f"SELECT term, {_NULLS.format('c')} FROM x"))
 _terms("terms_limit", lambda i: t.limit_terms(t.term_type(i), 50), _sql(["x AS (SELECT term, count(*) AS c FROM toks GROUP BY term)"], f"SELECT term, {_NULLS.format('c')} FROM x ORDER BY c DESC, term LIMIT 50"))
 _LANG = ["x AS (SELECT lang, source, n, count(*) AS c FROM sizes JOIN documents USING (doc_id) WHERE lang = 'de' GROUP BY ALL)"]
 _terms(

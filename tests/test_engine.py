@@ -4,6 +4,7 @@ import itertools
 import random
 from collections import Counter
 
+import duckdb
 import pytest
 from pyspark.sql import functions as F
 
@@ -14,6 +15,7 @@ from spanforge.operators.results import Search, render
 from spanforge.operators.scoring import hit_length
 from spanforge.plans.ast import And, Annotation, Const, Constraint, Contains, Gap, Minus, Node, Or, Repeats, Sequence, Term, Widened, Within
 from spanforge.plans.compile import Compiler, leaves
+from spanforge.queries import ORACLE_SQL, QUERIES
 from spanforge.sources.index import AnnotationType, IndexConfig, SpanIndex, document_annotations, document_table, posting_table, span_annotations
 
 CONFIG = IndexConfig({"string": "lower", "root": "none"}, {"S": AnnotationType(nominal=("k",), integer=("n",), text=("note",)), "Doc": AnnotationType(nominal=("lang",), document_mode=True, index_nulls=False), "M": AnnotationType(nominal=("normalizedUnit",), float=("normalizedValue", "normalizedMinValue", "normalizedMaxValue"))})
@@ -236,3 +238,19 @@ def test_descriptions_and_repair(spark):
     assert [r.o for r in got] == ["Paris (City)", "Place", "plain"]
     assert got[0].d == "{a=http://x#Paris, b=http://y#City}" and got[1].d == "{b=z}" and got[2].p == "[plain|]"
     assert [r.r for r in got] == ["a[?]b", "ok", None]
+
+
+def test_combined_terms_of_the_whole_table(spark):
+    sf = "/root/testdata/sf0.001"
+    names = [f"terms_whole_{x}" for x in ("and", "and_sum", "or", "or_max", "or_min", "sorted")]
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW documents AS SELECT * FROM '{sf}/documents.parquet'")
+    every = {r[0] for r in con.execute(ORACLE_SQL["terms_type"]).fetchall()}
+    for name in names:
+        got = [tuple(r) for r in QUERIES[name](spark, sf).collect()]
+        assert Counter(got) == Counter(con.execute(ORACLE_SQL[name]).fetchall()), name
+        seen = {r[0] for r in got}
+        if name == "terms_whole_and":
+            assert seen == every - set(t.STOP_WORDS)
+        elif name != "terms_whole_and_sum":
+            assert seen >= every
