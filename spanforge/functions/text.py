@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import re
 import unicodedata
+from collections.abc import Callable
+from dataclasses import dataclass
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -44,21 +46,42 @@ def _accented() -> tuple[str, str]:
 _FROM, _TO = _accented()
 
 
-def normalised(term: Column, processor: str) -> Column:
-    """``processor``: "none", "lower", "accents" (lower-case without combining marks) or "drop_empty"."""
-    if processor == "none":
-        return term
-    if processor == "lower":
-        return F.lower(term)
-    if processor == "accents":
-        return F.translate(F.regexp_replace(F.lower(term), r"\p{Mn}+", ""), _FROM, _TO)
-    if processor == "drop_empty":
-        return F.when(term != "", term)
-    raise ValueError(f"unknown term processor: {processor}")
+@dataclass(frozen=True)
+class TermProcessor:
+    """Normal form of terms: as an expression on the terms of an index, null for a term that is rejected, and for the
+    terms of a query. Any other one than those below can be given to an index configuration."""
 
+    name: str
+    column: Callable[[Column], Column]
+    literal: Callable[[str], str]
 
-def normalised_literal(term: str, processor: str) -> str:
-    return {"none": term, "lower": term.lower(), "accents": strip_accents(term), "drop_empty": term}[processor]
+
+PROCESSORS = {
+    p.name: p
+    for p in (
+        TermProcessor("none", lambda term: term, lambda term: term),
+        TermProcessor("lower", F.lower, str.lower),
+        # lower-case without combining marks
+        TermProcessor("accents", lambda term: F.translate(F.regexp_replace(F.lower(term), r"\p{Mn}+", ""), _FROM, _TO), strip_accents),
+        TermProcessor("drop_empty", lambda term: F.when(term != "", term), lambda term: term),
+    )
+}
+
+
+def processor_of(processor: str | TermProcessor) -> TermProcessor:
+    if isinstance(processor, TermProcessor):
+        return processor
+    if processor not in PROCESSORS:
+        raise ValueError(f"unknown term processor: {processor}")
+    return PROCESSORS[processor]
+
+
+def normalised(term: Column, processor: str | TermProcessor) -> Column:
+    return processor_of(processor).column(term)
+
+
+def normalised_literal(term: str, processor: str | TermProcessor) -> str:
+    return processor_of(processor).literal(term)
 
 
 def repaired(raw: Column) -> Column:

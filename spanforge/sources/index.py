@@ -7,7 +7,8 @@ from dataclasses import dataclass, field
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from spanforge.functions.text import gaps, normalised, tokens
+from spanforge.functions.text import TermProcessor, gaps, normalised, repaired, tokens
+from spanforge.sources.storage import exists, remove, rename
 
 
 @dataclass(frozen=True)
@@ -37,7 +38,7 @@ class AnnotationType:
 class IndexConfig:
     """Token features with their term processors, the first being the default one, and annotation types."""
 
-    token_features: dict[str, str] = field(default_factory=lambda: {"string": "lower"})
+    token_features: dict[str, str | TermProcessor] = field(default_factory=lambda: {"string": "lower"})
     annotation_types: dict[str, AnnotationType] = field(default_factory=dict)
 
     @property
@@ -49,11 +50,14 @@ class SpanIndex:
     """Tables of an index.
 
     documents(doc_id, uri, title, tokens, non_tokens, metadata, n_tokens); postings(feature, term, doc_id, pos);
-    annotations: by type, (doc_id, start, length, features...); deleted(doc_id) or None.
+    annotations: by type, (doc_id, start, length, features...); deleted(doc_id) or None. ``features`` gives, as for
+    ``posting_table``, the arrays of the token features beside the first. A stored index also has its terms counted,
+    as lexicon(feature, term, count, documents), and spreads postings and lexicon by term over ``buckets``.
     """
 
-    def __init__(self, config: IndexConfig, documents: DataFrame, postings: DataFrame, annotations: dict[str, DataFrame], deleted: DataFrame | None = None) -> None:
+    def __init__(self, config: IndexConfig, documents: DataFrame, postings: DataFrame, annotations: dict[str, DataFrame], deleted: DataFrame | None = None, features: dict[str, Column] | None = None, lexicon: DataFrame | None = None, buckets: int | None = None) -> None:
         self.config, self.documents, self.postings, self.annotations, self.deleted = config, documents, postings, annotations, deleted
+        self.features, self.lexicon, self.buckets = features, lexicon, buckets
 
     @property
     def spark(self) -> SparkSession:
@@ -61,25 +65,115 @@ class SpanIndex:
 
     def with_deleted(self, doc_ids: DataFrame | None) -> SpanIndex:
         """The index with these tombstones, in place of any before."""
-        return SpanIndex(self.config, self.documents, self.postings, self.annotations, doc_ids)
+        return SpanIndex(self.config, self.documents, self.postings, self.annotations, doc_ids, self.features, self.lexicon, self.buckets)
+
+    def _of_term(self, table: DataFrame, feature: str, term: str) -> DataFrame:
+        rows = table.where((F.col("feature") == feature) & (F.col("term") == term))
+        # folded to a number by the optimizer: only the term's own folder is listed and read
+        return rows.where(F.col("bucket") == _bucket(F.lit(term), self.buckets)) if self.buckets else rows
+
+    def term_rows(self, feature: str, term: str) -> DataFrame:
+        """(doc_id, pos) of a term."""
+        return self._of_term(self.postings, feature, term).select("doc_id", "pos")
+
+    def term_counts(self, feature: str) -> DataFrame:
+        """(term, count) of a feature."""
+        if self.lexicon is not None:
+            return self.lexicon.where(F.col("feature") == feature).select("term", "count")
+        return self.postings.where(F.col("feature") == feature).groupBy("term").agg(F.count(F.lit(1)).alias("count"))
+
+    def documents_of_term(self, feature: str, term: str) -> DataFrame | None:
+        """(documents), a row or none, if the index has counted them."""
+        return None if self.lexicon is None else self._of_term(self.lexicon, feature, term).select("documents")
+
+    def terms_of(self, doc_ids: list[int], feature: str) -> DataFrame:
+        """(term, doc_id), a row an occurrence, of a few documents, from their own tokens."""
+        some = self.documents.where(F.col("doc_id").isin(list(doc_ids)))
+        if feature != self.config.default_feature and feature not in (self.features or {}):
+            return self.postings.where((F.col("feature") == feature) & F.col("doc_id").isin(list(doc_ids))).select("term", "doc_id")
+        return posting_table(some, self.config, self.features, feature).select("term", "doc_id")
 
     def save(self, path: str, buckets: int | None = None) -> None:
-        """Parquet tables: postings by feature and annotations by type, clustered by doc_id and sorted by term."""
-        self.documents.write.mode("overwrite").parquet(f"{path}/documents")
-        postings = self.postings.repartition(*([buckets] if buckets else []), "feature", "doc_id")
-        postings.sortWithinPartitions("feature", "term", "doc_id", "pos").write.mode("overwrite").option("parquet.bloom.filter.enabled#term", "true").partitionBy("feature").parquet(f"{path}/postings")
+        """Parquet tables, in place of any under the path, by way of a folder beside it.
+
+        Documents and annotations are sorted by doc_id. Postings are split by feature and, by a hash of the term,
+        into buckets, and range-partitioned in these by term and document: a rare term is in one row group, and a
+        frequent one in as many files as it needs. ``buckets`` is by default one for 20 million postings, 8 at least.
+        """
+        spark, new = self.spark, f"{path}.new"
+        remove(spark, new)
+        self.documents.repartitionByRange("doc_id").sortWithinPartitions("doc_id").write.parquet(f"{new}/documents")
+        documents = spark.read.parquet(f"{new}/documents")
+        # postings come from the stored tokens where these make them up, so that texts are split once
+        made = all(f in (self.features or {}) for f in list(self.config.token_features)[1:])
+        postings = posting_table(documents, self.config, self.features) if made else self.postings.select("feature", "term", "doc_id", "pos")
+        if not buckets:
+            size = documents.agg(F.sum("n_tokens")).first()[0] or 0
+            buckets = max(8, 1 << (size * len(self.config.token_features) // 20_000_000).bit_length())
+        spread = postings.withColumn("bucket", _bucket(F.col("term"), buckets)).repartitionByRange("feature", "bucket", "term", "doc_id")
+        spread.sortWithinPartitions("feature", "bucket", "term", "doc_id", "pos").write.option("parquet.bloom.filter.enabled#term", "true").partitionBy("feature", "bucket").parquet(f"{new}/postings")
+        stored = _postings(spark, new, buckets)
+        # a document's share first: the count of documents then needs no distinct
+        each = stored.groupBy("feature", "bucket", "term", "doc_id").agg(F.count(F.lit(1)).alias("n"))
+        lexicon = each.groupBy("feature", "bucket", "term").agg(F.sum("n").alias("count"), F.count(F.lit(1)).alias("documents"))
+        lexicon.repartitionByRange("feature", "bucket", "term").sortWithinPartitions("feature", "bucket", "term").write.partitionBy("feature", "bucket").parquet(f"{new}/lexicon")
         for name, table in self.annotations.items():
-            table.write.mode("overwrite").parquet(f"{path}/annotations/ann_type={name}")
+            table.repartitionByRange("doc_id").sortWithinPartitions("doc_id", "start").write.parquet(f"{new}/annotations/ann_type={name}")
+        spark.createDataFrame([(buckets,)], "buckets int").coalesce(1).write.parquet(f"{new}/layout")
+        remove(spark, path)
+        rename(spark, new, path)
 
     @staticmethod
-    def load(spark: SparkSession, path: str, config: IndexConfig, deleted: DataFrame | None = None) -> SpanIndex:
+    def load(spark: SparkSession, path: str, config: IndexConfig, deleted: DataFrame | None = None, features: dict[str, Column] | None = None) -> SpanIndex:
+        buckets = spark.read.schema("buckets int").parquet(f"{path}/layout").first().buckets
         annotations = {name: spark.read.parquet(f"{path}/annotations/ann_type={name}") for name in config.annotation_types}
-        return SpanIndex(config, spark.read.parquet(f"{path}/documents"), spark.read.parquet(f"{path}/postings"), annotations, deleted)
+        lexicon = spark.read.schema("feature string, bucket int, term string, count bigint, documents bigint").parquet(f"{path}/lexicon")
+        return SpanIndex(config, spark.read.parquet(f"{path}/documents"), _postings(spark, path, buckets), annotations, deleted, features, lexicon, buckets)
+
+    def stored(self, path: str) -> SpanIndex:
+        """The index as saved under the path, by this call if by none before."""
+        if not exists(self.spark, f"{path}/layout/_SUCCESS"):
+            self.save(path)
+        return SpanIndex.load(self.spark, path, self.config, self.deleted, self.features)
+
+
+def _bucket(term: Column, buckets: int) -> Column:
+    return F.pmod(F.xxhash64(term), F.lit(buckets)).cast("int")
+
+
+def _postings(spark: SparkSession, path: str, buckets: int) -> DataFrame:
+    return spark.read.schema("term string, doc_id bigint, pos int, feature string, bucket int").parquet(f"{path}/postings")
+
+
+def federated(*indexes: SpanIndex) -> SpanIndex:
+    """Several indexes of one configuration as one. Document k of the i-th of n has the id k * n + i, so ids stay
+    apart; statistics and terms are those of all. Queries run over the union, counts are sums."""
+    first, n = indexes[0], len(indexes)
+    if any(x.config != first.config for x in indexes):
+        raise ValueError("federated indexes need one configuration")
+
+    def union(tables: list[DataFrame]) -> DataFrame:
+        moved = [t.withColumn("doc_id", F.col("doc_id") * n + i) for i, t in enumerate(tables)]
+        out = moved[0]
+        for t in moved[1:]:
+            out = out.unionByName(t)
+        return out
+
+    postings = union([x.postings.select("feature", "term", "doc_id", "pos") for x in indexes])
+    annotations = {name: union([x.annotations[name] for x in indexes]) for name in first.config.annotation_types}
+    gone = [(i, x.deleted) for i, x in enumerate(indexes) if x.deleted is not None]
+    deleted = None
+    for i, d in gone:
+        moved = d.select((F.col("doc_id") * n + i).alias("doc_id"))
+        deleted = moved if deleted is None else deleted.union(moved)
+    return SpanIndex(first.config, union([x.documents for x in indexes]), postings, annotations, deleted, first.features)
 
 
 def document_table(texts: DataFrame, metadata: dict[str, Column] | None = None, uri: Column | None = None, title: Column | None = None) -> DataFrame:
-    """Documents from (doc_id, text, ...). Tokens keep their case; a null text has no tokens."""
-    body = F.coalesce(F.col("text"), F.lit(""))
+    """Documents from (doc_id, text, ...). Tokens keep their case; a null text has no tokens. Where ``text`` is binary,
+    bytes that aren't UTF-8 are marked."""
+    text = repaired(F.col("text")) if dict(texts.dtypes)["text"] == "binary" else F.col("text")
+    body = F.coalesce(text, F.lit(""))
     pairs = [x for name, value in (metadata or {}).items() for x in (F.lit(name), value.cast("string"))]
     return texts.select(
         "doc_id",
@@ -91,11 +185,13 @@ def document_table(texts: DataFrame, metadata: dict[str, Column] | None = None,
     ).withColumn("n_tokens", F.size("tokens"))
 
 
-def posting_table(documents: DataFrame, config: IndexConfig, features: dict[str, Column] | None = None) -> DataFrame:
-    """Postings of every token feature. ``features`` gives arrays parallel to the tokens for those other than the
+def posting_table(documents: DataFrame, config: IndexConfig, features: dict[str, Column] | None = None, only: str | None = None) -> DataFrame:
+    """Postings of every token feature, or ``only`` one. ``features`` gives arrays parallel to the tokens for those other than the
     first; a missing value is the empty term. A term that its processor rejects keeps its position free."""
     parts = []
     for k, (name, processor) in enumerate(config.token_features.items()):
+        if only not in (None, name):
+            continue
         terms = F.col("tokens") if k == 0 else (features or {})[name]
         rows = documents.select("doc_id", F.posexplode(terms).alias("pos", "raw"))
         term = normalised(F.coalesce("raw", F.lit("")), processor)
