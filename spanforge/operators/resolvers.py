@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import math
 from abc import ABC, abstractmethod
 from collections.abc import Callable
+from decimal import Decimal, InvalidOperation
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame
@@ -37,13 +39,35 @@ def comparison(kind: AnnotationType, c: Constraint) -> Column:
             raise ValueError(f"a regular expression can't match the number {c.feature}")
         return F.regexp_like(column, F.lit(f"(?{c.flags}){c.value}" if c.flags else c.value))
     value = c.value
+    if of == "integer":
+        return _whole(column, c.op, _decimal(value))
     if number:
-        value = float(value)
-    elif isinstance(value, float):
-        value = str(int(value)) if value.is_integer() else str(value)
+        value = float(_decimal(value))
+    else:
+        value = str(value)
     return {"=": column == value, "<": column < value, "<=": column <= value, ">": column > value, ">=": column >= value}[c.op]
 
 
+def _decimal(value) -> Decimal:
+    try:
+        return Decimal(str(value))
+    except InvalidOperation:
+        raise ValueError(f"a number is expected, not {value!r}") from None
+
+
+def _whole(column: Column, op: str, value: Decimal) -> Column:
+    """Comparison of an integer column with any number, exact and pushed down to the scan as one of integers."""
+    low, high = math.floor(value), math.ceil(value)
+    if op == "=" and low != high:
+        return F.lit(False)
+    bound = {"=": low, "<": high, "<=": low, ">": low, ">=": high}[op]
+    if not -(2**63) <= bound < 2**63:
+        # beyond every integer of the column
+        return column.isNotNull() & F.lit(op != "=" and (bound > 0) == (op in ("<", "<=")))
+    x = F.lit(bound).cast("bigint")
+    return {"=": column == x, "<": column < x, "<=": column <= x, ">": column > x, ">=": column >= x}[op]
+
+
 def distinct_spans(rows: DataFrame, kind: AnnotationType, constraints: tuple[Constraint, ...]) -> DataFrame:
     """Spans of rows. Rows of equal span and equal nominal features are one hit, unless a constraint is on another
     kind of feature: then they are one only if those are equal too."""
@@ -76,7 +100,7 @@ UNITS = {
     "kg": ("kg", 1.0, 0.0), "g": ("kg", 0.001, 0.0), "mg": ("kg", 1e-6, 0.0), "lb": ("kg", 0.45359237, 0.0), "t": ("kg", 1000.0, 0.0),
     "s": ("s", 1.0, 0.0), "ms": ("s", 0.001, 0.0), "min": ("s", 60.0, 0.0), "h": ("s", 3600.0, 0.0), "day": ("s", 86400.0, 0.0),
     "k": ("K", 1.0, 0.0), "degc": ("K", 1.0, 273.15), "degf": ("K", 5 / 9, 459.67 * 5 / 9),
-    "tokens": ("chars", 1.0, 0.0), "char": ("chars", 1.0, 0.0), "chars": ("chars", 1.0, 0.0), "kchar": ("chars", 1000.0, 0.0), "kchars": ("chars", 1000.0, 0.0),
+    "char": ("chars", 1.0, 0.0), "chars": ("chars", 1.0, 0.0), "kchar": ("chars", 1000.0, 0.0), "kchars": ("chars", 1000.0, 0.0),
     "l": ("l", 1.0, 0.0), "ml": ("l", 0.001, 0.0), "hz": ("Hz", 1.0, 0.0), "khz": ("Hz", 1000.0, 0.0), "pa": ("Pa", 1.0, 0.0), "bar": ("Pa", 1e5, 0.0),
 }
 

@@ -3,14 +3,14 @@
 from __future__ import annotations
 
 import html
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from spanforge.operators.resolvers import Resolver
-from spanforge.operators.scoring import ranked, scored
+from spanforge.operators.scoring import Scorer, ranked, scored
 from spanforge.plans.ast import Node
 from spanforge.plans.compile import Compiler
 from spanforge.plans.parser import parse
@@ -33,7 +33,7 @@ def text_window(position: Column, length: Column) -> Column:
 class Search:
     """One query on one index; every getter is a lazy frame, or a number."""
 
-    def __init__(self, index: SpanIndex, query: str | Node, scorer: str = "none", resolvers: dict[str, Resolver] | None = None, bindings: bool = False) -> None:
+    def __init__(self, index: SpanIndex, query: str | Node, scorer: str | Scorer = "none", resolvers: dict[str, Resolver] | None = None, bindings: bool = False) -> None:
         self.index, self.scorer = index, scorer
         self.node = parse(query) if isinstance(query, str) else query
         self.compiler = Compiler(index, resolvers, bindings)
@@ -67,31 +67,44 @@ class Search:
         right = empty(text_window(start + length, F.lit(context))) if context else F.lit("")
         return rows.select("doc_id", "start", "length", left.alias("left_context"), text_window(start, length).alias("hit_text"), right.alias("right_context"))
 
-    def metadata(self, *fields: str) -> DataFrame:
-        """(doc_id, uri, title, fields...) of the matching documents."""
+    def document_at(self, rank: int) -> DataFrame:
+        """(rank, doc_id, score) of one rank; no row beyond the last."""
+        return self.page(rank, 1)
+
+    def hits_of(self, doc_id: int) -> DataFrame:
+        """Hits in one document."""
+        return self.hits().where(F.col("doc_id") == doc_id)
+
+    def metadata(self, *fields: str, **derived: Column) -> DataFrame:
+        """(doc_id, uri, title, fields..., derived...) of the matching documents. ``derived`` are expressions on the
+        columns of the documents table, such as links made of metadata."""
         docs = self.index.documents.join(self.compiler.documents(self.node), "doc_id", "left_semi")
-        return docs.select("doc_id", "uri", "title", *[F.col("metadata")[f].alias(f) for f in fields])
+        return docs.select("doc_id", "uri", "title", *[F.col("metadata")[f].alias(f) for f in fields], *[c.alias(k) for k, c in derived.items()])
 
     def csv(self, path: str, *fields: str) -> None:
         """Matching documents with their scores and metadata as CSV files, in rank order."""
         rows = self.page().join(self.metadata(*fields), "doc_id").select("rank", "doc_id", "score", "uri", "title", *fields)
         rows.orderBy("rank").write.mode("overwrite").option("header", True).csv(path)
 
-    def rendered(self, tags: DataFrame | None = None) -> DataFrame:
-        """(doc_id, html): texts with hits in <span class="hit"> and, if given, tags (doc_id, start, length, tag)."""
+    def rendered(self, tags: DataFrame | None = None, renderer: Callable[[list, list, list], str] | None = None) -> DataFrame:
+        """(doc_id, html): texts with hits in <span class="hit"> and, if given, tags (doc_id, start, length, tag).
+        ``renderer`` may take the place of ``render``."""
         spans = self.hits().select("doc_id", "start", "length", F.lit(None).cast("string").alias("tag"))
         if tags is not None:
             known = tags.where(F.col("tag").isin(list(TAGS))).join(self.compiler.documents(self.node), "doc_id", "left_semi")
             spans = spans.unionByName(known.select("doc_id", "start", "length", "tag"))
         marks = spans.distinct().groupBy("doc_id").agg(F.collect_list(F.struct("start", "length", "tag")).alias("spans"))
         rows = self.index.documents.select("doc_id", "tokens", "non_tokens").join(marks, "doc_id")
-        return rows.mapInArrow(_render, "doc_id bigint, html string")
+        return rows.mapInArrow(_render(renderer or render), "doc_id bigint, html string")
+
 
+def _render(renderer: Callable[[list, list, list], str]):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            out = [renderer(*row) for row in zip(batch.column("tokens").to_pylist(), batch.column("non_tokens").to_pylist(), batch.column("spans").to_pylist())]
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(out, pa.string())], ["doc_id", "html"])
 
-def _render(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        out = [render(*row) for row in zip(batch.column("tokens").to_pylist(), batch.column("non_tokens").to_pylist(), batch.column("spans").to_pylist())]
-        yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(out, pa.string())], ["doc_id", "html"])
+    return run
 
 
 def render(tokens: list[str], non_tokens: list[str | None], spans: list[dict]) -> str:

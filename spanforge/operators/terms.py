@@ -12,12 +12,24 @@ from spanforge.plans.ast import Annotation
 from spanforge.plans.compile import Compiler
 from spanforge.sources.index import SpanIndex
 
-#: Frequent English function words; any other list can be given.
+#: Frequent English function words and fillers; any other list can be given.
 STOP_WORDS = tuple(
-    "a about above after again against all also am an and any are as at be because been before being below between both but by can cannot could did do does doing down during each few for from further "
-    "had has have having he her here hers herself him himself his how i if in into is it its itself just let me more most must my myself no nor not now of off on once only or other ought our ours "
-    "ourselves out over own same she should so some such than that the their theirs them themselves then there these they this those through to too under until up upon very was we were what when "
-    "where whether which while who whom whose why will with within without would you your yours yourself yourselves".split()
+    "a able about above abroad according accordingly across actually after afterwards again against ago ahead all allow allows almost alone along alongside already also although always am amid among amongst an and "
+    "another any anybody anyhow anymore anyone anything anyway anyways anywhere apart are around as aside ask asking associated at away back backward backwards be became because become becomes becoming been before "
+    "beforehand begin behind being below beside besides best better between beyond both brief but by came can cannot cant cause causes certain certainly clearly come comes concerning consequently consider considering "
+    "contain containing contains corresponding could course currently dare despite did different directly do does doing done down downwards during each either else elsewhere end ending enough entirely especially etc "
+    "even ever evermore every everybody everyone everything everywhere exactly example except fairly far few fewer first five followed following follows for forever former formerly forth forward found four from further "
+    "furthermore get gets getting given gives go goes going gone got had half happens hardly has have having he hello help hence her here hereafter hereby herein hereupon hers herself high him himself his hither hopefully "
+    "how however hundred i if ignored immediate in inasmuch inc indeed indicate indicated indicates inner inside insofar instead into inward is it its itself just keep keeps kept know known knows last lately later latter "
+    "latterly least less lest let like liked likely likewise little look looking looks low lower made mainly make makes many may maybe me mean meantime meanwhile merely might mine minus more moreover most mostly much must "
+    "my myself namely near nearly necessary need needs neither never nevertheless new next nine no nobody non none nonetheless nor normally not nothing notwithstanding now nowhere obviously of off often oh ok okay old on "
+    "once one ones only onto opposite or other others otherwise ought our ours ourselves out outside over overall own particular particularly past per perhaps placed please plus possible presumably probably provided "
+    "provides quite rather really reasonably recent recently regarding regardless relatively respectively right round said same saw say saying says second secondly see seeing seem seemed seeming seems seen self selves "
+    "sensible sent serious seriously seven several shall she should since six so some somebody someday somehow someone something sometime sometimes somewhat somewhere soon sorry specified specify specifying still sub such "
+    "sup sure take taken taking tell tends than thank thanks that the their theirs them themselves then thence there thereafter thereby therefore therein thereupon these they thing things think third this thorough "
+    "thoroughly those though three through throughout thru thus till to together too took toward towards tried tries truly try trying twice two under underneath undoing unfortunately unless unlike unlikely until unto up "
+    "upon upwards us use used useful uses using usually value various versus very via want wants was way we welcome well went were what whatever when whence whenever where whereafter whereas whereby wherein whereupon "
+    "wherever whether which whichever while whilst whither who whoever whole whom whomever whose why will willing wish with within without wonder would yes yet you your yours yourself yourselves zero".split()
 )
 STRATEGIES = ("first", "max", "min", "sum")
 _COLUMNS = ("term", "length", "count", "description")
@@ -29,15 +41,13 @@ def _shaped(rows: DataFrame) -> DataFrame:
     return rows.select(*[(F.col(c) if c in rows.columns else F.lit(None)).cast(k).alias(c) for c, k in kinds.items()])
 
 
-def _counted(postings: DataFrame, stop_words: tuple[str, ...]) -> DataFrame:
-    if stop_words:
-        postings = postings.where(~F.col("term").isin(list(stop_words)))
-    return _shaped(postings.groupBy("term").agg(F.count(F.lit(1)).alias("count")))
+def _without(rows: DataFrame, stop_words: tuple[str, ...]) -> DataFrame:
+    return rows.where(~F.col("term").isin(list(stop_words))) if stop_words else rows
 
 
 def term_type(index: SpanIndex, feature: str | None = None, stop_words: tuple[str, ...] = ()) -> DataFrame:
     """Every term of a token feature with its occurrences; deleted documents count too."""
-    return _counted(index.postings.where(F.col("feature") == (feature or index.config.default_feature)), stop_words)
+    return _shaped(_without(index.term_counts(feature or index.config.default_feature), stop_words))
 
 
 def document_terms(index: SpanIndex, doc_id: int, feature: str | None = None, stop_words: tuple[str, ...] = ()) -> DataFrame:
@@ -46,15 +56,13 @@ def document_terms(index: SpanIndex, doc_id: int, feature: str | None = None, st
 
 def documents_or(index: SpanIndex, doc_ids: list[int], feature: str | None = None, stop_words: tuple[str, ...] = ()) -> DataFrame:
     """Terms of any of the documents, with summed counts."""
-    rows = index.postings.where((F.col("feature") == (feature or index.config.default_feature)) & F.col("doc_id").isin(list(doc_ids)))
-    return _counted(rows, stop_words)
+    rows = _without(index.terms_of(doc_ids, feature or index.config.default_feature), stop_words)
+    return _shaped(rows.groupBy("term").agg(F.count(F.lit(1)).alias("count")))
 
 
 def documents_and(index: SpanIndex, doc_ids: list[int], feature: str | None = None, stop_words: tuple[str, ...] = ()) -> DataFrame:
     """Terms of all the documents, with summed counts."""
-    rows = index.postings.where((F.col("feature") == (feature or index.config.default_feature)) & F.col("doc_id").isin(list(doc_ids)))
-    if stop_words:
-        rows = rows.where(~F.col("term").isin(list(stop_words)))
+    rows = _without(index.terms_of(doc_ids, feature or index.config.default_feature), stop_words)
     # one row a term and document first, so that the count of documents needs no distinct
     each = rows.groupBy("term", "doc_id").agg(F.count(F.lit(1)).alias("n"))
     both = each.groupBy("term").agg(F.sum("n").alias("count"), F.count(F.lit(1)).alias("in"))
@@ -95,6 +103,11 @@ def or_terms(*parts: DataFrame, strategy: str = "first") -> DataFrame:
     return _combined(list(parts), strategy, False)
 
 
+def federated_terms(*parts: DataFrame) -> DataFrame:
+    """One terms query's answers by several indexes: counts of a term are summed, the first length and description stay."""
+    return _combined(list(parts), "sum", False)
+
+
 def _order(by: tuple[str, ...]) -> list[Column]:
     out = []
     for x in by:

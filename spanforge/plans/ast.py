@@ -10,6 +10,10 @@ class Node:
     """Any query that yields hits."""
 
 
+class Number(str):
+    """A number as it is written in a query: compared exactly with numbers, and as text with anything else."""
+
+
 @dataclass(frozen=True)
 class Term(Node):
     """Positions of a term in a token feature; the first feature if ``feature`` is None."""

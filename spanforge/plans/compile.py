@@ -17,8 +17,6 @@ from spanforge.operators.resolvers import ColumnResolver, Resolver, UnknownName,
 from spanforge.plans.ast import And, Annotation, Const, Contains, Gap, Minus, Node, Or, Repeats, Sequence, Term, Widened, Within
 from spanforge.sources.index import SpanIndex
 
-#: Widest ranged gap whose positions are enumerated for an equi-join; beyond it the range is a join condition.
-ENUMERATED_GAP = 32
 _HIT = ("doc_id", "start", "length")
 _BINDINGS = "array<struct<start:int,length:int>>"
 
@@ -69,7 +67,7 @@ class Compiler:
         if feature not in config.token_features:
             raise UnknownName(f"no token feature {feature}")
         term = normalised_literal(node.term, config.token_features[feature])
-        rows = self.index.postings.where((F.col("feature") == feature) & (F.col("term") == term))
+        rows = self.index.term_rows(feature, term)
         return self._leaf(rows.select("doc_id", F.col("pos").alias("start"), F.lit(node.length).alias("length")))
 
     def annotation_rows(self, node: Annotation) -> DataFrame:
@@ -98,12 +96,13 @@ class Compiler:
         if gap.low == gap.high:
             left = left.withColumn("next", _end() + gap.low)
             joined = left.join(right, (left.doc_id == right.r_doc) & (left.next == right.r_start))
-        elif gap.high - gap.low < ENUMERATED_GAP:
-            left = left.withColumn("next", F.explode(F.sequence(_end() + gap.low, _end() + gap.high)))
-            joined = left.join(right, (left.doc_id == right.r_doc) & (left.next == right.r_start))
         else:
-            left = left.withColumn("next", _end())
-            joined = left.join(right, (left.doc_id == right.r_doc) & right.r_start.between(left.next + gap.low, left.next + gap.high))
+            # a range is as wide as a bucket of positions, so it meets two of them at most, and a right hit is in one
+            width = gap.high - gap.low + 1
+            bucket = lambda x: F.floor(x / width)
+            left = left.withColumn("next", _end()).withColumn("bucket", F.explode(F.array_distinct(F.array(bucket(F.col("next") + gap.low), bucket(F.col("next") + gap.high)))))
+            right = right.withColumn("r_bucket", bucket(F.col("r_start")))
+            joined = left.join(right, (left.doc_id == right.r_doc) & (left.bucket == right.r_bucket) & right.r_start.between(left.next + gap.low, left.next + gap.high))
         out = joined.withColumn("length", (F.col("r_start") + F.col("r_length") - F.col("start")).cast("int"))
         if self.bindings:
             out = out.withColumn("bindings", F.concat("bindings", F.array(F.struct(F.col("r_start").alias("start"), F.col("r_length").alias("length")))))
@@ -120,7 +119,20 @@ class Compiler:
             out = self._chain(out, self.hits(following), node.gap(k))
         return out
 
+    def _runs(self, node: Repeats) -> DataFrame:
+        """Repeats of one-token hits: a run of adjacent ones is found with two windows over a single scan."""
+        order = W.partitionBy("doc_id").orderBy("start")
+        hits = self.hits(node.node).select("doc_id", "start").withColumn("run", F.col("start") - F.row_number().over(order))
+        left = F.max("start").over(W.partitionBy("doc_id", "run")) - F.col("start") + 1
+        each = hits.withColumn("left", left).where(F.col("left") >= node.low)
+        out = each.select("doc_id", "start", F.explode(F.sequence(F.lit(node.low), F.least(F.col("left"), F.lit(node.high)))).alias("length"))
+        if self.bindings:
+            out = out.withColumn("bindings", F.transform(F.sequence(F.col("start"), F.col("start") + F.col("length") - 1), lambda k: F.struct(k.cast("int").alias("start"), F.lit(1).alias("length"))))
+        return out.select(self.columns)
+
     def _repeats(self, node: Repeats) -> DataFrame:
+        if isinstance(node.node, Term) and node.node.length == 1:
+            return self._runs(node)
         # one more adjacent hit a level; a hit never follows itself, as every hit has a length
         single = self.hits(node.node)
         level = self._operand(node.node)
@@ -166,12 +178,22 @@ class Compiler:
         rows = left.select(F.lit(0).alias("side"), *_HIT, *extra).union(right.select(F.lit(1).alias("side"), *_HIT, *blank))
         return rows.withColumn("bound", bound.over(window)).where((F.col("side") == 0) & keep).select(self.columns)
 
+    def _whole_documents(self, node: Node) -> DataFrame | None:
+        """(doc_id) of an annotation over whole documents: what is in such a document is in the annotation."""
+        if isinstance(node, Annotation) and (kind := self.index.config.annotation_types.get(node.type)) and kind.document_mode:
+            return self.annotation_rows(node).select("doc_id")
+        return None
+
     def _within(self, node: Within) -> DataFrame:
+        if (whole := self._whole_documents(node.outer)) is not None:
+            return self.hits(node.inner).join(whole, "doc_id", "left_semi").select(self.columns)
         window = W.partitionBy("doc_id").orderBy("start").rangeBetween(W.unboundedPreceding, W.currentRow)
         bound = F.max(F.when(F.col("side") == 1, _end()))
         return self._overlap(self.hits(node.inner), self.hits(node.outer), bound, window, F.col("bound") >= _end())
 
     def _contains(self, node: Contains) -> DataFrame:
+        if self._whole_documents(node.outer) is not None:
+            return self.hits(node.outer).join(self.hits(node.inner).select("doc_id"), "doc_id", "left_semi").select(self.columns)
         window = W.partitionBy("doc_id").orderBy("start").rangeBetween(W.currentRow, W.unboundedFollowing)
         bound = F.min(F.when(F.col("side") == 1, _end()))
         return self._overlap(self.hits(node.outer), self.hits(node.inner), bound, window, F.col("bound") <= _end())
