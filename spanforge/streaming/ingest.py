@@ -1,42 +1,126 @@
-"""Incremental ingest: documents become searchable when their micro-batch is written."""
+"""Incremental ingest: documents become searchable when their micro-batch is written.
+
+A folder holds a part for each micro-batch and, after compaction, one for all batches up to some number. A manifest
+names the compacted part; the one of the highest number counts, and it appears whole by a rename. So readers see a
+batch either in its own part or in the compacted one, never in both.
+"""
 
 from __future__ import annotations
 
+import json
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import DataStreamWriter
 
-from spanforge.sources.index import IndexConfig, document_table, posting_table
+from spanforge.sources.index import IndexConfig, SpanIndex, document_table, posting_table
+from spanforge.sources.storage import names, put_text, remove, rename
+
+#: Batches after which they are compacted.
+COMPACT_AT = 20
+Annotator = Callable[[DataFrame, DataFrame], DataFrame]
+
+
+class Ingest:
+    """What a stream of (doc_id, text, ...) becomes. ``features`` gives the arrays of token features beside the first,
+    as expressions on a document's row. ``annotations`` makes (doc_id, start, length, features...) of a type from a
+    micro-batch and its documents. ``text`` may be binary: bytes that aren't UTF-8 are marked."""
+
+    def __init__(self, path: str, config: IndexConfig, build: Callable[[DataFrame], DataFrame] = document_table, features: dict[str, Column] | None = None, annotations: dict[str, Annotator] | None = None, compact_at: int = COMPACT_AT) -> None:
+        self.path, self.config, self.build, self.features, self.annotations, self.compact_at = path.rstrip("/"), config, build, features, annotations or {}, compact_at
+        for kind in self.annotations:
+            if kind not in config.annotation_types:
+                raise ValueError(f"no annotation type {kind}")
+
+    def append(self, batch: DataFrame, number: int) -> None:
+        """One micro-batch as a part of its own, overwritten if the batch is run again."""
+        spark, part = batch.sparkSession, f"batch={number}"
+        self.build(batch).write.mode("overwrite").parquet(f"{self.path}/documents/{part}")
+        # the rest is built from the written documents: texts are split once
+        documents = spark.read.parquet(f"{self.path}/documents/{part}")
+        _write_postings(posting_table(documents, self.config, self.features), f"{self.path}/postings/{part}")
+        for kind, make in self.annotations.items():
+            make(batch, documents).write.mode("overwrite").parquet(f"{self.path}/annotations-{kind}/{part}")
+        compacted = manifest(spark, self.path)
+        if number - (compacted["upto"] if compacted else -1) >= self.compact_at:
+            compact(spark, self.path)
+
+    def writer(self, stream: DataFrame, checkpoint: str) -> DataStreamWriter:
+        """Start it with any trigger."""
+        return stream.writeStream.option("checkpointLocation", checkpoint).foreachBatch(self.append)
 
+    def index(self, spark: SparkSession, deleted: DataFrame | None = None) -> SpanIndex:
+        """All that has been ingested so far."""
+        documents, postings = indexed(spark, self.path)
+        return SpanIndex(self.config, documents, postings, {kind: _table(spark, self.path, f"annotations-{kind}", manifest(spark, self.path)) for kind in self.annotations}, deleted, self.features)
 
-def _append(path: str, config: IndexConfig, batch: DataFrame, number: int, build: Callable[[DataFrame], DataFrame]) -> None:
-    """One micro-batch as a partition of its own, overwritten if the batch is run again."""
-    documents = build(batch)
-    # built from the written documents: the source is read once
-    documents.write.mode("overwrite").parquet(f"{path}/documents/batch={number}")
-    stored = batch.sparkSession.read.parquet(f"{path}/documents/batch={number}")
-    postings = posting_table(stored, config).repartition("feature", "doc_id").sortWithinPartitions("feature", "term", "doc_id", "pos")
-    postings.write.mode("overwrite").parquet(f"{path}/postings/batch={number}")
 
+def _write_postings(postings: DataFrame, to: str) -> None:
+    postings.repartitionByRange("feature", "term", "doc_id").sortWithinPartitions("feature", "term", "doc_id", "pos").write.mode("overwrite").parquet(to)
 
-def ingest(stream: DataFrame, path: str, config: IndexConfig, checkpoint: str, build: Callable[[DataFrame], DataFrame] = document_table) -> DataStreamWriter:
-    """Writer that indexes a stream of (doc_id, text, ...) under ``path``; start it with any trigger."""
-    return stream.writeStream.option("checkpointLocation", checkpoint).foreachBatch(lambda batch, number: _append(path, config, batch, number, build))
+
+def ingest(stream: DataFrame, path: str, config: IndexConfig, checkpoint: str, build: Callable[[DataFrame], DataFrame] = document_table, **more) -> DataStreamWriter:
+    """Writer that indexes a stream of (doc_id, text, ...) under ``path``; ``more`` is for ``Ingest``."""
+    return Ingest(path, config, build, **more).writer(stream, checkpoint)
+
+
+def manifest(spark: SparkSession, path: str) -> dict | None:
+    """{"upto": last batch of the compacted part, "part": its name}, or None."""
+    found = [n for n in names(spark, path) if n.startswith("manifest-")]
+    return json.loads(spark.read.text(f"{path}/{found[-1]}", wholetext=True).first()[0]) if found else None
+
+
+def _table(spark: SparkSession, path: str, name: str, compacted: dict | None) -> DataFrame:
+    schema = None
+    parts = []
+    if compacted:
+        parts.append(spark.read.parquet(f"{path}/{compacted['part']}/{name}"))
+        schema = parts[0].schema
+    numbers = sorted(int(n.partition("=")[2]) for n in names(spark, f"{path}/{name}") if n.startswith("batch="))
+    new = [f"{path}/{name}/batch={n}" for n in numbers if not compacted or n > compacted["upto"]]
+    if new:
+        parts.append((spark.read.schema(schema) if schema else spark.read).parquet(*new))
+    if not parts:
+        raise ValueError(f"nothing has been ingested under {path}")
+    return parts[0] if len(parts) == 1 else parts[0].unionByName(parts[1])
 
 
 def indexed(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
     """Documents and postings of all batches."""
-    return spark.read.parquet(f"{path}/documents").drop("batch"), spark.read.parquet(f"{path}/postings").drop("batch")
+    compacted = manifest(spark, path)
+    return _table(spark, path, "documents", compacted), _table(spark, path, "postings", compacted)
+
 
+def compact(spark: SparkSession, path: str) -> None:
+    """All batches so far as one part, sorted as a stored index is; batches that were in an earlier one are deleted.
 
-def compact(spark: SparkSession, path: str, to: str, partitions: int) -> None:
-    """All batches rewritten as one, clustered by document, in a new folder."""
-    documents, postings = indexed(spark, path)
-    documents.repartition(partitions, "doc_id").write.mode("overwrite").parquet(f"{to}/documents/batch=0")
-    postings.repartition(partitions, "feature", "doc_id").sortWithinPartitions("feature", "term", "doc_id", "pos").write.mode("overwrite").parquet(f"{to}/postings/batch=0")
+    Readers that opened the index before go on with the parts that they have: those are deleted by the next call.
+    """
+    path, old = path.rstrip("/"), manifest(spark, path)
+    upto = batches(spark, path)[-1]
+    if old and old["upto"] == upto:
+        return
+    part = f"compacted-{upto:012d}"
+    remove(spark, f"{path}/{part}")
+    for name in [n for n in names(spark, path) if n in ("documents", "postings") or n.startswith("annotations-")]:
+        whole = _table(spark, path, name, old)
+        if name == "postings":
+            _write_postings(whole, f"{path}/{part}/{name}")
+        else:
+            whole.repartitionByRange("doc_id").sortWithinPartitions("doc_id").write.parquet(f"{path}/{part}/{name}")
+    put_text(spark, f"{path}/.new-manifest", json.dumps({"upto": upto, "part": part}))
+    rename(spark, f"{path}/.new-manifest", f"{path}/manifest-{upto:012d}")
+    if old:
+        for name in [n for n in names(spark, path) if n in ("documents", "postings") or n.startswith("annotations-")]:
+            for n in names(spark, f"{path}/{name}"):
+                if n.startswith("batch=") and int(n.partition("=")[2]) <= old["upto"]:
+                    remove(spark, f"{path}/{name}/{n}")
+        for n in names(spark, path):
+            if n.startswith("compacted-") and n < old["part"]:
+                remove(spark, f"{path}/{n}")
 
 
-def batches(spark: SparkSession, path: str) -> int:
-    return spark.read.parquet(f"{path}/documents").select(F.col("batch")).distinct().count()
+def batches(spark: SparkSession, path: str) -> list[int]:
+    """Numbers of the batches that have parts of their own, in order."""
+    return sorted(int(n.partition("=")[2]) for n in names(spark, f"{path}/documents") if n.startswith("batch="))
