@@ -1,22 +1,30 @@
 """The engine against a plain model of its operators on random spans, and its edge cases."""
 
+import http.server
 import itertools
+import json
 import random
+import re
+import threading
+import urllib.parse
 from collections import Counter
 
 import duckdb
 import pytest
 from pyspark.sql import functions as F
 
-from spanforge.functions.text import TOKEN, normalised, split_tokens, strip_accents
+from spanforge.functions.text import TOKEN, TermProcessor, normalised, normalised_literal, split_tokens, strip_accents
 from spanforge.operators import terms as t
 from spanforge.operators.resolvers import LookupResolver, MeasurementResolver, UnknownName
 from spanforge.operators.results import Search, render
-from spanforge.operators.scoring import hit_length
+from spanforge.operators.scoring import hit_length, register_scorer
 from spanforge.plans.ast import And, Annotation, Const, Constraint, Contains, Gap, Minus, Node, Or, Repeats, Sequence, Term, Widened, Within
 from spanforge.plans.compile import Compiler, leaves
 from spanforge.queries import ORACLE_SQL, QUERIES
-from spanforge.sources.index import AnnotationType, IndexConfig, SpanIndex, document_annotations, document_table, posting_table, span_annotations
+from spanforge.sources.corpus import corpus_index
+from spanforge.sources.index import AnnotationType, IndexConfig, SpanIndex, document_annotations, document_table, federated, posting_table, span_annotations
+from spanforge.sources.sparql import SparqlEndpoint
+from spanforge.sources.storage import shared_folder
 
 CONFIG = IndexConfig({"string": "lower", "root": "none"}, {"S": AnnotationType(nominal=("k",), integer=("n",), text=("note",)), "Doc": AnnotationType(nominal=("lang",), document_mode=True, index_nulls=False), "M": AnnotationType(nominal=("normalizedUnit",), float=("normalizedValue", "normalizedMinValue", "normalizedMaxValue"))})
 
@@ -207,13 +215,137 @@ def test_texts_and_rendering(spark, tmp_path):
     assert Search(index, "two").metadata("x").columns == ["doc_id", "uri", "title", "x"]
 
 
+def plan(frame):
+    return frame._jdf.queryExecution().executedPlan().toString()
+
+
 def test_save_and_load(spark, tmp_path, world):
     index, docs = world
     index.save(str(tmp_path / "index"), 2)
     loaded = SpanIndex.load(spark, str(tmp_path / "index"), index.config)
     assert bag(Search(loaded, "a b").hits()) == model(Sequence((A, B)), docs)
-    plan = Search(loaded, "a").hits()._jdf.queryExecution().executedPlan().toString()
-    assert "PartitionFilters" in plan and "EqualTo(term,a)" in plan
+    text = plan(Search(loaded, "a").hits())
+    assert "PartitionFilters" in text and "EqualTo(term,a)" in text and re.search(r"PartitionFilters: \[[^\]]*bucket#\d+ = [01]\)", text)
+    of = lambda i: {(r.term, r["count"]) for r in t.term_type(i).collect()}
+    assert of(loaded) == of(index) and loaded.documents_of_term("string", "a").first().documents == sum("a" in ws for ws in docs.values())
+    assert bag(Search(loaded, "root:a").hits()) == bag(Search(index, "root:a").hits())
+    assert {(r.term, r["count"]) for r in t.document_terms(loaded, 3, "root").collect()} == {(r.term, r["count"]) for r in t.document_terms(index, 3, "root").collect()}
+    scores = lambda i: {(r.doc_id, round(r.score, 9)) for r in Search(i, "a | b", "bm25").scores().collect()}
+    assert scores(loaded) == scores(index)
+    # a second call reads what the first one stored
+    again = index.stored(str(tmp_path / "index"))
+    assert again.buckets == 2 and bag(Search(again, "a").hits()) == model(A, docs)
+
+
+def test_plans_of_a_stored_index(spark):
+    index = corpus_index(spark, "/root/testdata/sf0.001")
+    of = lambda q, **k: plan(Search(index, q, **k).hits())
+    # one scan of one bucket, no shuffle
+    assert of("the").count("FileScan") == 1 and "Exchange" not in of("the")
+    # runs: one scan; a document's tokens aren't read for annotations of whole documents
+    assert of("the+1..3").count("FileScan") == 1
+    inside = of("the IN {Document lang=en}")
+    assert "Window" not in inside and "tokens" not in inside and "LeftSemi" in inside
+    # gaps are equi-joins, and their ranges aren't enumerated
+    wide = of("is [0..60] was")
+    assert "NestedLoop" not in wide and "bucket" in wide and "sequence" not in wide
+    # exact numbers reach the scan
+    assert "GreaterThan(n_chars,1500)" in of("{Document n_chars > 1500.5}") and "double" not in of("{Document n_chars > 1500.5}")
+    # a frequency a leaf from the lexicon: no second scan of postings
+    bm25 = plan(Search(index, "is | was", "bm25").scores())
+    assert bm25.count("/postings") == 2
+    # what comes together in one partition is a row a partition, not the ranks
+    ranks = plan(Search(index, "is | was", "count").page())
+    assert ranks.count("SinglePartition") == 1 and re.search(r"SinglePartition[^\n]*\n[^\n]*HashAggregate[^\n]*count", ranks)
+    assert "/lexicon" in plan(t.term_type(index)) and "In(doc_id" in plan(t.documents_or(index, [1, 6, 7]))
+
+
+def test_numbers_are_exact(spark):
+    spans = [(1, k, 1, v, n, None) for k, (v, n) in enumerate([("007", 2**53), ("7", 2**53 + 1), ("7.0", -3), (None, None)])]
+    index = make(spark, [(1, "a b c d")], spans)
+    of = lambda q: sorted(r.start for r in Search(index, q).hits().collect())
+    assert of("{S k=007}") == [0] and of("{S k=7}") == [1] and of("{S k=7.0}") == [2]
+    assert of("{S n=9007199254740993}") == [1] and of("{S n>9007199254740992}") == [1] and of("{S n=9007199254740993.5}") == []
+    assert of("{S n<-2.5}") == [2] and of("{S n<=-3.0}") == [2] and of("{S n>=-3.5}") == [0, 1, 2] and of("{S n>-3}") == [0, 1]
+    assert of("{S n<99999999999999999999}") == [0, 1, 2] and of("{S n>99999999999999999999}") == [] and of("{S n>-99999999999999999999}") == [0, 1, 2]
+    assert of("{S n=-99999999999999999999}") == []
+    with pytest.raises(ValueError):
+        of('{S n="many"}')
+
+
+def test_own_processors_scorers_and_renderers(spark):
+    shout = TermProcessor("shout", F.upper, str.upper)
+    config = IndexConfig({"string": shout})
+    docs = document_table(spark.createDataFrame([(1, "One two"), (2, "TWO two")], "doc_id bigint, text string"))
+    index = SpanIndex(config, docs, posting_table(docs, config), {})
+    assert bag(Search(index, "two").hits()) == Counter({(1, 1, 1): 1, (2, 0, 1): 1, (2, 1, 1): 1})
+    register_scorer("twice", lambda compiler, node: compiler.hits(node).groupBy("doc_id").agg((2.0 * F.count(F.lit(1))).alias("score")))
+    assert {r.doc_id: r.score for r in Search(index, "two", "twice").scores().collect()} == {1: 2.0, 2: 4.0}
+    with pytest.raises(ValueError):
+        register_scorer("bm25", lambda compiler, node: None)
+    assert {r.html for r in Search(index, "one").rendered(renderer=lambda tokens, gaps, spans: f"{len(tokens)}:{len(spans)}").collect()} == {"2:1"}
+    assert [r.link for r in Search(index, "one").metadata(link=F.concat(F.lit("/d/"), "doc_id")).collect()] == ["/d/1"]
+    search = Search(index, "two", "count")
+    assert search.document_at(0).first().doc_id == 2 and search.document_at(9).count() == 0 and search.hits_of(1).count() == 1
+    with pytest.raises(ValueError):
+        normalised_literal("x", "nope")
+
+
+def test_federation(spark):
+    texts = [(1, "a b"), (2, "a")], [(1, "b a b"), (5, "c")]
+    one, two = (make(spark, x) for x in texts)
+    both = federated(one, two.with_deleted(spark.createDataFrame([(5,)], "doc_id bigint")))
+    assert bag(Search(both, "a").hits()) == Counter({(2, 0, 1): 1, (4, 0, 1): 1, (3, 1, 1): 1})
+    assert Search(both, "c").documents_count() == 0 and both.documents.count() == 4
+    terms = lambda f: {r.term: r["count"] for r in f.collect()}
+    assert terms(t.federated_terms(t.term_type(one), t.term_type(two))) == terms(t.term_type(both)) == {"a": 3, "b": 3, "c": 1}
+    with pytest.raises(ValueError):
+        federated(one, SpanIndex(IndexConfig(), one.documents, one.postings, {}))
+
+
+@pytest.mark.parametrize("method", ["GET", "POST"])
+def test_sparql_endpoint(spark, method):
+    seen = []
+
+    class Answer(http.server.BaseHTTPRequestHandler):
+        def _answer(self, form):
+            seen.append((self.command, urllib.parse.parse_qs(form)["query"][0], self.headers["Authorization"]))
+            body = json.dumps({"head": {"vars": ["k", "n"]}, "results": {"bindings": [{"k": {"value": "u"}, "n": {"value": "6"}}, {"k": {"value": "v"}}]}}).encode()
+            self.send_response(200)
+            self.end_headers()
+            self.wfile.write(body)
+
+        def do_GET(self):
+            self._answer(self.path.partition("?")[2])
+
+        def do_POST(self):
+            self._answer(self.rfile.read(int(self.headers["Content-Length"])).decode())
+
+        def log_message(self, *_):
+            pass
+
+    server = http.server.HTTPServer(("127.0.0.1", 0), Answer)
+    threading.Thread(target=server.serve_forever, daemon=True).start()
+    try:
+        provider = SparqlEndpoint(spark, f"http://127.0.0.1:{server.server_port}/q", method, "me", "secret", numbers=("n",))
+        index = make(spark, [(1, "a b")], [(1, 0, 1, "u", 5, None), (1, 1, 1, "u", 6, None)])
+        assert bag(Search(index, '{S sparql="SELECT ?k ?n"}', resolvers={"S": LookupResolver(provider)}).hits()) == Counter({(1, 1, 1): 1})
+        assert set(seen) == {(method, "SELECT ?k ?n", "Basic bWU6c2VjcmV0")}
+    finally:
+        server.shutdown()
+    with pytest.raises(ValueError):
+        SparqlEndpoint(spark, "http://x", "PUT")
+
+
+def test_a_shared_folder_is_needed_on_a_cluster(spark):
+    class Elsewhere:
+        """A session on a cluster without the setting."""
+
+        conf = type("C", (), {"get": staticmethod(lambda *_: None)})()
+        sparkContext = type("S", (), {"master": "yarn", "getConf": lambda self: Elsewhere.conf, "getCheckpointDir": lambda self: None})()
+
+    with pytest.raises(RuntimeError, match="checkpoint"):
+        shared_folder(Elsewhere())
 
 
 def test_tokens(spark):

@@ -1,6 +1,6 @@
 import pytest
 
-from spanforge.plans.ast import And, Annotation, Constraint, Contains, Gap, Minus, Or, Repeats, Sequence, Term, Within
+from spanforge.plans.ast import And, Annotation, Constraint, Contains, Gap, Minus, Number, Or, Repeats, Sequence, Term, Within
 from spanforge.plans.parser import QueryError, parse
 
 A, B, C, D = (Term(x) for x in "abcd")
@@ -26,7 +26,8 @@ def test_structure():
     assert parse("a+3") == Repeats(A, 1, 3) and parse("a b+2..3") == Sequence((A, Repeats(B, 2, 3)), (Gap(),))
     assert parse("a IN b") == Within(A, B) and parse("a OVER b") == Contains(A, B) and parse("a MINUS b") == Minus(A, B)
     assert parse('"a b" c') == Sequence((Sequence((A, B)), C), (Gap(),))
-    assert parse('{T x=1 y="s" z>-2.5 w.REGEX("p","i")}') == Annotation("T", (Constraint("x", "=", 1.0), Constraint("y", "=", "s"), Constraint("z", ">", -2.5), Constraint("w", "regex", "p", "i")))
+    assert parse('{T x=1 y="s" z>-2.5 w.REGEX("p","i")}') == Annotation("T", (Constraint("x", "=", "1"), Constraint("y", "=", "s"), Constraint("z", ">", "-2.5"), Constraint("w", "regex", "p", "i")))
+    assert isinstance(parse("{T x=007}").constraints[0].value, Number) and parse("{T x=007}").constraints[0].value == "007" and not isinstance(parse('{T x="7"}').constraints[0].value, Number)
     assert parse('"AND"') == Term("AND") and parse("\\+") == Term("+")
 
 
