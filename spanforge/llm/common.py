@@ -5,34 +5,45 @@ from __future__ import annotations
 import ctypes
 import gc
 import os
-import uuid
 from collections.abc import Callable, Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from spanforge.sources.storage import shared_folder
+from spanforge.sources.storage import discard, written
 
-#: Rows up to which one side of a join may be broadcast; beyond it the join shuffles.
-BROADCAST_ROWS = 500_000
+__all__ = ["checked_broadcast", "discard", "grouped", "map_batches", "measured_bytes", "table", "take_memory", "vocabulary_file", "written"]
+
+#: Bytes, as measured, up to which one side of a join may be broadcast; beyond it the join shuffles.
+BROADCAST_BYTES = 16 << 20
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def written(df: DataFrame, tag: str) -> DataFrame:
-    """The frame as a Parquet table in the shared folder: cuts lineage and survives lost executors."""
-    spark = df.sparkSession
-    path = f"{shared_folder(spark)}/{tag}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+def measured_bytes(df: DataFrame) -> int:
+    """Bytes of the values of a (written, cheap to read) frame."""
+    each = []
+    for field in df.schema.fields:
+        column = F.col(f"`{field.name}`")
+        if isinstance(field.dataType, (T.StringType, T.BinaryType)):
+            each.append(F.coalesce(F.octet_length(column), F.lit(0)) + 8)
+        elif isinstance(field.dataType, T.ArrayType) and isinstance(field.dataType.elementType, T.NumericType):
+            each.append(F.coalesce(F.size(column), F.lit(0)) * 8 + 16)
+        elif isinstance(field.dataType, (T.ArrayType, T.MapType)):
+            each.append(F.coalesce(F.octet_length(F.to_json(column)), F.lit(0)) + 16)
+        else:
+            each.append(F.lit(8 * len(field.dataType.fields) if isinstance(field.dataType, T.StructType) else 8))
+    return df.agg(F.sum(sum(each[1:], each[0]))).first()[0] or 0
 
 
-def checked_broadcast(df: DataFrame, limit: int = BROADCAST_ROWS) -> DataFrame:
-    """Hint a broadcast if the (written, cheap to count) frame has at most ``limit`` rows; else leave it to shuffle."""
-    return F.broadcast(df) if df.count() <= limit else df
+def checked_broadcast(df: DataFrame, limit: int = BROADCAST_BYTES) -> DataFrame:
+    """Hint a broadcast if the (written, cheap to read) frame has at most ``limit`` bytes; else leave it to shuffle."""
+    return F.broadcast(df) if measured_bytes(df) <= limit else df
 
 
 def vocabulary_file(name: str, folder: str | None = None) -> str:
@@ -52,6 +63,25 @@ def map_batches(df: DataFrame, fn: Callable[[pa.RecordBatch], pa.RecordBatch | p
     return df.mapInArrow(run, schema)
 
 
+def grouped(batches: Iterator[pa.RecordBatch], key: str) -> Iterator[pa.Table]:
+    """Tables of equal key, a bigint without nulls, from batches that arrive sorted by it."""
+    held: list[pa.RecordBatch] = []
+    last = None
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        keys = batch.column(key).to_numpy()
+        cuts = [0, *(np.flatnonzero(keys[1:] != keys[:-1]) + 1).tolist(), len(keys)]
+        for a, b in zip(cuts, cuts[1:]):
+            if held and keys[a] != last:
+                yield pa.Table.from_batches(held)
+                held = []
+            held.append(batch.slice(a, b - a))
+            last = keys[a]
+    if held:
+        yield pa.Table.from_batches(held)
+
+
 _holder: tuple[str, Callable[[], None]] | None = None
 
 

@@ -1,8 +1,11 @@
-"""N-gram Jaccard join: pairs of texts whose word n-gram sets are similar.
+"""N-gram Jaccard join: texts whose word n-gram sets are similar.
 
 Bayesian candidate pruning (BayesLSH-Lite): candidates share a band of MinHash values; their sketches
 are compared a few values at a time and a pair is dropped as soon as the posterior probability that its
 similarity reaches the threshold falls below a tolerance; what is left is verified on the whole sets.
+
+Texts of equal sets are one class, named by its first document: the smallest doc_id and the hash of its text.
+A bucket with many members is split into blocks, and every pair of blocks is a task of its own.
 """
 
 from __future__ import annotations
@@ -14,20 +17,20 @@ from functools import lru_cache
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from spanforge.llm.common import checked_broadcast, map_batches, take_memory, written
+from spanforge.llm.common import checked_broadcast, discard, grouped, map_batches, take_memory, written
 from spanforge.llm.shingles import forget, shingle_set, sketch
 
 N = 3
 THRESHOLD = 0.5
-SIZE = 96
+SIZE = 144
 ROWS = 3
 STEP = 16
-TOLERANCE = 0.005
-#: Members of a bucket that are compared, or verified, in one block.
-BLOCK = 2000
+TOLERANCE = 0.001
+#: Members of a block of a bucket, and n-grams that they have together: what a task holds twice.
+BLOCK, BLOCK_SHINGLES = 1000, 2_000_000
 
 
 @lru_cache(maxsize=64)
@@ -51,6 +54,11 @@ def least_matches(threshold: float, tolerance: float, size: int, step: int) -> t
     return tuple(out)
 
 
+def text_key(text: Column) -> Column:
+    """Tells the texts of one doc_id apart."""
+    return F.xxhash64(text)
+
+
 def _features(n: int, size: int):
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
         take_memory("shingles", forget)
@@ -59,24 +67,24 @@ def _features(n: int, size: int):
             s = shingle_set(text, n)
             keys.append(xxhash.xxh3_128_digest(s.tobytes()) if len(s) else None)
             counts.append(len(s))
-            sketches.append(sketch(s, size).tobytes())
+            sketches.append(sketch(s, size).tobytes() if len(s) else None)
         return pa.RecordBatch.from_arrays(
-            [batch.column("doc_id"), pa.array(keys, pa.binary()), pa.array(counts, pa.int32()), pa.array(sketches, pa.binary())],
-            ["doc_id", "set_key", "n_shingles", "sketch"],
+            [batch.column("doc_id"), batch.column("text_key"), pa.array(keys, pa.binary()), pa.array(counts, pa.int32()), pa.array(sketches, pa.binary())],
+            ["doc_id", "text_key", "set_key", "n_shingles", "sketch"],
         )
 
     return run
 
 
-def survivors(ids: np.ndarray, sketches: np.ndarray, sizes: np.ndarray, band: int, rows: int, rules, threshold: float):
-    """Pairs of a bucket that are not pruned, each only in the first band that its sketches share.
+def survivors(left: np.ndarray, right: np.ndarray, sketches: np.ndarray, sizes: np.ndarray, band: int, rows: int, rules, threshold: float) -> Iterator[tuple[int, np.ndarray]]:
+    """Pairs of a member of ``left`` with later ones of ``right`` (places) that aren't pruned, each only in the
+    first band that its sketches share. Where both are the same, a pair comes once.
 
     The two sizes bound the similarity from above by min / max, which prunes exactly.
     """
-    order = np.argsort(ids, kind="stable")
-    ids, sketches, sizes = ids[order], sketches[order], sizes[order]
-    for i in range(len(ids) - 1):
-        rest = np.arange(i + 1, len(ids))
+    within = left is right
+    for k, i in enumerate(left.tolist()):
+        rest = right[k + 1 :] if within else right
         rest = rest[np.minimum(sizes[rest], sizes[i]) >= threshold * np.maximum(sizes[rest], sizes[i]) - 1e-9]
         if band and len(rest):
             same = (sketches[rest, : band * rows] == sketches[i, : band * rows]).reshape(len(rest), band, rows)
@@ -90,50 +98,29 @@ def survivors(ids: np.ndarray, sketches: np.ndarray, sizes: np.ndarray, band: in
             stay = matches >= least
             rest, matches = rest[stay], matches[stay]
         if len(rest):
-            yield ids[i], ids[rest]
-
-
-def _grouped(batches: Iterator[pa.RecordBatch], key: str) -> Iterator[pa.Table]:
-    """Tables of equal key from batches that arrive sorted by it."""
-    held: list[pa.RecordBatch] = []
-    last = None
-    for batch in batches:
-        if not batch.num_rows:
-            continue
-        keys = batch.column(key).to_pylist()
-        start = 0
-        for k in range(len(keys)):
-            if keys[k] != last:
-                if held or k > start:
-                    part = [*held, *([batch.slice(start, k - start)] if k > start else [])]
-                    yield pa.Table.from_batches(part)
-                held, start, last = [], k, keys[k]
-        held.append(batch.slice(start))
-    if held:
-        yield pa.Table.from_batches(held)
+            yield i, rest
+
+
+_PAIR = ("task", "a", "a_text", "a_members", "b", "b_text", "b_members")
 
 
 def _prune(size: int, rows: int, threshold: float, tolerance: float, step: int):
     rules = least_matches(threshold, tolerance, size, step)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        out: list[list] = [[], [], []]
-        for t in _grouped(batches, "bucket"):
+        for t in grouped(batches, "task"):
             if t.num_rows < 2:
                 continue
-            ids = t.column("doc_id").to_numpy()
             sketches = np.frombuffer(b"".join(t.column("sketch").to_pylist()), np.uint16).reshape(-1, size)
-            bucket, band = t.column("bucket")[0].as_py(), t.column("band")[0].as_py()
-            blocks = -(-t.num_rows // BLOCK)
-            for a, bs in survivors(ids, sketches, t.column("n_shingles").to_numpy(), band, rows, rules, threshold):
-                for b in bs.tolist():
-                    out[0].append(f"{bucket}:{band}:{a % blocks}:{b % blocks}")
-                    out[1].append(int(a))
-                    out[2].append(b)
-                if len(out[0]) > 50_000:
-                    yield pa.RecordBatch.from_arrays([pa.array(out[0], pa.string()), pa.array(out[1], pa.int64()), pa.array(out[2], pa.int64())], ["task", "a", "b"])
-                    out = [[], [], []]
-        yield pa.RecordBatch.from_arrays([pa.array(out[0], pa.string()), pa.array(out[1], pa.int64()), pa.array(out[2], pa.int64())], ["task", "a", "b"])
+            side = t.column("side").to_numpy()
+            left, right = np.flatnonzero(side == 0), np.flatnonzero(side == 1)
+            found = [(np.full(len(rest), i), rest) for i, rest in survivors(left, right if len(right) else left, sketches, t.column("n_shingles").to_numpy(), t.column("band")[0].as_py(), rows, rules, threshold)] if t.column("pairs")[0].as_py() == 1 or len(right) else []
+            if not found:
+                continue
+            a, b = (np.concatenate(x) for x in zip(*found))
+            columns = [t.column(c).to_numpy() for c in ("rep", "text_key", "members")]
+            arrays = [pa.array(np.full(len(a), t.column("task")[0].as_py())), *(pa.array(c[x]) for x in (a, b) for c in columns)]
+            yield from pa.Table.from_arrays(arrays, list(_PAIR)).to_batches(50_000)
 
     return run
 
@@ -146,110 +133,172 @@ def jaccard(x: np.ndarray, y: np.ndarray) -> float:
     return common / (len(both) - common)
 
 
-def _verify(n: int, threshold: float):
+def _verified(batches: Iterator[pa.RecordBatch], n: int, threshold: float) -> Iterator[tuple[list[tuple], list[tuple], list[tuple]]]:
+    """By task: the first and second members of the similar pairs, as (rep, text_key, members), and (jaccard,)."""
+    take_memory("shingles", forget)
+    for t in grouped(batches, "task"):
+        columns = {c: t.column(c).to_pylist() for c in t.column_names}
+        sets = {(a, x): shingle_set(text, n) for a, x, b, text in zip(columns["a"], columns["a_text"], columns["b"], columns["text"]) if b is None}
+        similar = []
+        for a, x, i, b, y, j in zip(*(columns[c] for c in _PAIR[1:])):
+            if b is not None and (s := jaccard(sets[a, x], sets[b, y])) >= threshold:
+                similar.append(((a, x, i), (b, y, j), (s,)))
+        if similar:
+            yield tuple(zip(*similar))
+
+
+def _pairs(n: int, threshold: float):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        take_memory("shingles", forget)
-        for t in _grouped(batches, "task"):
-            sets: dict[int, np.ndarray] = {}
-            out: list[list] = [[], [], []]
-            for a, b, text in zip(t.column("a").to_pylist(), t.column("b").to_pylist(), t.column("text").to_pylist()):
-                if b is None:
-                    sets[a] = shingle_set(text, n)
-            for a, b in zip(t.column("a").to_pylist(), t.column("b").to_pylist()):
-                if b is not None and (j := jaccard(sets[a], sets[b])) >= threshold:
-                    for column, value in zip(out, (a, b, j)):
-                        column.append(value)
-            if out[0]:
-                yield pa.RecordBatch.from_arrays([pa.array(out[0], pa.int64()), pa.array(out[1], pa.int64()), pa.array(out[2], pa.float64())], ["a", "b", "jaccard"])
+        for first, second, s in _verified(batches, n, threshold):
+            yield pa.RecordBatch.from_arrays([pa.array([min(a, b)[k] for a, b in zip(first, second)], pa.int64()) for k in (0, 1)] + [pa.array([max(a, b)[k] for a, b in zip(first, second)], pa.int64()) for k in (0, 1)] + [pa.array([x for x, in s], pa.float64())], ["a", "a_text", "b", "b_text", "jaccard"])
 
     return run
 
 
-def _classes_and_pairs(docs: DataFrame, n, threshold, size, rows, step, tolerance) -> tuple[DataFrame, DataFrame]:
-    """Classes of equal sets (set_key, rep, ids, members, ...) and similar pairs of their representatives (a, b, jaccard)."""
-    texts = docs.where("doc_id is not null and text is not null").select("doc_id", "text")
-    features = written(
-        map_batches(texts, _features(n, size), "doc_id bigint, set_key binary, n_shingles int, sketch binary").where("set_key is not null"),
-        "sketches",
-    )
-    classes = written(
-        features.groupBy("set_key").agg(F.min("doc_id").alias("rep"), F.array_sort(F.collect_set("doc_id")).alias("ids"), F.count(F.lit(1)).alias("members"), F.first("n_shingles").alias("n_shingles"), F.first("sketch").alias("sketch")),
-        "classes",
-    )
-    bands = size // rows
-    banded = classes.select(
-        F.col("rep").alias("doc_id"),
-        "n_shingles",
-        "sketch",
-        F.posexplode(F.transform(F.sequence(F.lit(0), F.lit(bands - 1)), lambda k: F.xxhash64(k, F.expr("sketch").substr(k * (2 * rows) + 1, F.lit(2 * rows))))).alias("band", "bucket"),
-    )
-    shared = written(banded.groupBy("bucket").agg(F.count(F.lit(1)).alias("members")).where("members > 1"), "buckets")
-    members = banded.join(checked_broadcast(shared), "bucket", "left_semi")
-    pairs = written(
-        members.select("bucket", "band", "doc_id", "n_shingles", "sketch").repartition("bucket").sortWithinPartitions("bucket", "band").mapInArrow(_prune(size, rows, threshold, tolerance, step), "task string, a bigint, b bigint"),
-        "candidates",
-    )
-    needed = written(pairs.select("task", F.explode(F.array("a", "b")).alias("doc_id")).distinct(), "needed")
-    # one text of a repeated doc_id is enough only if its rows agree, so the rows are first narrowed to classes' own
-    both = (
-        needed.join(texts.join(checked_broadcast(needed.select("doc_id").distinct()), "doc_id", "left_semi").dropDuplicates(["doc_id"]), "doc_id")
-        .select("task", F.col("doc_id").alias("a"), F.lit(None).cast("bigint").alias("b"), "text")
-        .unionByName(pairs.withColumn("text", F.lit(None).cast("string")))
-    )
-    near = both.repartition("task").sortWithinPartitions("task").mapInArrow(_verify(n, threshold), "a bigint, b bigint, jaccard double")
-    return classes, written(near, "pairs")
-
+def _links(n: int, threshold: float):
+    """Linear in the members of a task, however many pairs they make: links of each, and edges that join all of a group."""
 
-def ngram_jaccard_join(docs: DataFrame, n: int = N, threshold: float = THRESHOLD, size: int = SIZE, rows: int = ROWS, step: int = STEP, tolerance: float = TOLERANCE) -> DataFrame:
-    """All pairs of documents with n-gram similarity of at least ``threshold``, in factored form.
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for first, second, _ in _verified(batches, n, threshold):
+            links: dict[tuple, int] = {}
+            root: dict[tuple, tuple] = {}
+
+            def top(x: tuple) -> tuple:
+                while root.setdefault(x, x) != x:
+                    root[x] = root[root[x]]
+                    x = root[x]
+                return x
+
+            for a, b in zip(first, second):
+                links[a] = links.get(a, 0) + b[2]
+                links[b] = links.get(b, 0) + a[2]
+                x, y = top(a), top(b)
+                root[max(x, y)] = min(x, y)
+            rows = [(*x[:2], *top(x)[:2], c) for x, c in links.items()]
+            yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*rows)], ["a", "a_text", "b", "b_text", "links"])
 
-    A row says that every document of ``doc_ids_a`` has the similarity ``jaccard`` with every other document
-    of ``doc_ids_b``. Documents with equal n-gram sets form one class and share their rows: a class of several
-    documents also has a row of its own, with both lists the class and similarity 1. So thousands of copies
-    cost one row, not millions, and no pair is left out.
+    return run
 
-    Null doc_id or text, and texts without a word, match nothing. A text of fewer than n words is one n-gram.
-    Repeated rows count once. A doc_id may not stand for two different texts; if it does, either may be
-    compared. Other columns are ignored. An empty table gives no rows.
-    """
-    classes, near = _classes_and_pairs(docs, n, threshold, size, rows, step, tolerance)
-    ids = classes.select("rep", "ids")
-    pairs = near.join(ids.select(F.col("rep").alias("a"), F.col("ids").alias("doc_ids_a")), "a").join(ids.select(F.col("rep").alias("b"), F.col("ids").alias("doc_ids_b")), "b")
-    copies = ids.where(F.size("ids") > 1).select(F.col("ids").alias("doc_ids_a"), F.col("ids").alias("doc_ids_b"), F.lit(1.0).alias("jaccard"))
-    return pairs.select("doc_ids_a", "doc_ids_b", "jaccard").unionByName(copies)
 
+class _Candidates:
+    """The tables of a join up to verification."""
 
-def groups(classes: DataFrame, near: DataFrame) -> DataFrame:
-    """(doc_id, keeper): every document beside the smallest doc_id that it is linked to over any chain of pairs."""
-    edges = written(near.select("a", "b").unionByName(near.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct(), "edges")
-    labels = written(edges.groupBy("a").agg(F.least(F.col("a"), F.min("b")).alias("label")), "labels")
+    def __init__(self, docs: DataFrame, n: int, threshold: float, size: int, rows: int, step: int, tolerance: float) -> None:
+        texts = docs.where("doc_id is not null and text is not null").select("doc_id", text_key(F.col("text")).alias("text_key"), "text")
+        #: A row for each of ``docs`` with words: doc_id, text_key, set_key, n_shingles, sketch.
+        self.features = written(
+            map_batches(texts, _features(n, size), "doc_id bigint, text_key bigint, set_key binary, n_shingles int, sketch binary").where("set_key is not null"),
+            "sketches",
+        )
+        first = F.min(F.struct("doc_id", "text_key")).alias("first")
+        classes = self.features.groupBy("set_key").agg(first, F.count_distinct("doc_id").alias("members"), F.first("n_shingles").alias("n_shingles"), F.first("sketch").alias("sketch"))
+        #: A row for each set: set_key, rep, text_key, members, n_shingles, sketch.
+        self.classes = written(classes.select("set_key", F.col("first.doc_id").alias("rep"), F.col("first.text_key").alias("text_key"), "members", "n_shingles", "sketch"), "classes")
+        bands = size // rows
+        band = F.transform(F.sequence(F.lit(0), F.lit(bands - 1)), lambda k: F.xxhash64(k, F.expr("sketch").substr(k * (2 * rows) + 1, F.lit(2 * rows))))
+        banded = lambda *columns: self.classes.select(*columns, "n_shingles", F.posexplode(band).alias("band", "bucket"))
+        shared = banded().groupBy("band", "bucket").agg(F.count(F.lit(1)).alias("m"), F.sum("n_shingles").alias("s")).where("m > 1")
+        shared = written(shared.select("band", "bucket", F.greatest(F.ceil(F.col("m") / BLOCK), F.ceil(F.col("s") / BLOCK_SHINGLES)).cast("int").alias("blocks")), "buckets")
+        members = banded("rep", "text_key", "members", "sketch").join(checked_broadcast(shared), ["band", "bucket"])
+        # in a bucket of several blocks a member goes to the task of its block with each block
+        mine = F.pmod(F.xxhash64("rep", "text_key"), F.col("blocks")).cast("int")
+        placed = members.withColumn("mine", mine).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+        low, high = F.least("mine", "other"), F.greatest("mine", "other")
+        tasks = placed.select(F.xxhash64("band", "bucket", low, high).alias("task"), "band", F.when((F.col("mine") == low) | (low == high), 0).otherwise(1).alias("side"), F.when(low == high, 1).otherwise(0).alias("pairs"), "rep", "text_key", "members", "n_shingles", "sketch")
+        pruned = tasks.repartition("task").sortWithinPartitions("task").mapInArrow(_prune(size, rows, threshold, tolerance, step), ", ".join(f"{c} bigint" for c in _PAIR))
+        pairs = written(pruned, "candidates")
+        needed = written(pairs.select("task", F.explode(F.array(F.struct(F.col("a").alias("doc_id"), F.col("a_text").alias("text_key")), F.struct(F.col("b").alias("doc_id"), F.col("b_text").alias("text_key")))).alias("x")).select("task", "x.*").distinct(), "needed")
+        wanted = written(needed.select("doc_id", "text_key").distinct(), "wanted")
+        found = texts.join(checked_broadcast(wanted), ["doc_id", "text_key"], "left_semi").dropDuplicates(["doc_id", "text_key"])
+        sets = needed.join(found, ["doc_id", "text_key"]).select("task", F.col("doc_id").alias("a"), F.col("text_key").alias("a_text"), "text")
+        self.both = sets.unionByName(pairs, allowMissingColumns=True).select(*_PAIR, "text").repartition("task").sortWithinPartitions("task")
+        self.used = [shared, pairs, needed, wanted]
+
+
+def ngram_jaccard_pairs(docs: DataFrame, n: int = N, threshold: float = THRESHOLD, size: int = SIZE, rows: int = ROWS, step: int = STEP, tolerance: float = TOLERANCE) -> tuple[DataFrame, DataFrame]:
+    """Similar pairs of class representatives (doc_id_a, text_a, doc_id_b, text_b, jaccard), doc_id_a the smaller,
+    and membership (doc_id, text, rep, rep_text): each document's class. ``text`` columns are hashes of texts."""
+    c = _Candidates(docs, n, threshold, size, rows, step, tolerance)
+    near = written(c.both.mapInArrow(_pairs(n, threshold), "a bigint, a_text bigint, b bigint, b_text bigint, jaccard double"), "pairs")
+    members = written(c.features.select("doc_id", "text_key", "set_key").join(c.classes.select("set_key", "rep", F.col("text_key").alias("rep_text")), "set_key").select("doc_id", F.col("text_key").alias("text"), "rep", "rep_text").distinct(), "membership")
+    discard(c.features, c.classes, *c.used)
+    return near.select(F.col("a").alias("doc_id_a"), F.col("a_text").alias("text_a"), F.col("b").alias("doc_id_b"), F.col("b_text").alias("text_b"), "jaccard"), members
+
+
+def components(edges: DataFrame) -> DataFrame:
+    """(node, label): every node of the edges (x, y) with the smallest node that it is linked to over any chain."""
+    both = written(edges.where("x <> y").select("x", "y").unionByName(edges.where("x <> y").select(F.col("y").alias("x"), F.col("x").alias("y"))).distinct(), "edges")
+    labels = written(both.groupBy("x").agg(F.least(F.col("x"), F.min("y")).alias("label")), "labels")
     while True:
         # the smallest label among neighbours, then the label of that label: chains halve at each turn
-        near_min = edges.join(labels.withColumnRenamed("a", "b"), "b").groupBy("a").agg(F.min("label").alias("other"))
-        step = labels.join(near_min, "a").select("a", F.col("label").alias("old"), F.least("label", "other").alias("label"))
-        step = written(step, "step")
-        jump = step.select(F.col("a").alias("label"), F.col("label").alias("next"))
-        after = written(step.join(jump, "label", "left").select("a", "old", F.least("label", F.coalesce("next", "label")).alias("label")), "labels")
+        near = both.join(labels.withColumnRenamed("x", "y"), "y").groupBy("x").agg(F.min("label").alias("other"))
+        step = written(labels.join(near, "x").select("x", F.col("label").alias("old"), F.least("label", "other").alias("label")), "step")
+        jump = step.select(F.col("x").alias("label"), F.col("label").alias("next"))
+        after = written(step.join(jump, "label", "left").select("x", "old", F.least("label", F.coalesce("next", "label")).alias("label")), "labels")
         changed = after.where("label <> old").limit(1).count()
-        labels = after.select("a", "label")
+        discard(labels, step)
+        labels = after
         if not changed:
-            break
-    return classes.join(labels.withColumnRenamed("a", "rep"), "rep", "left").select(F.explode("ids").alias("doc_id"), F.coalesce("label", "rep").alias("keeper"))
+            discard(both)
+            out = labels.select(F.col("x").alias("node"), "label")
+            out.stored_at = labels.stored_at
+            return out
+
+
+def _grouped_documents(docs: DataFrame, n, threshold, size, rows, step, tolerance) -> DataFrame:
+    """(doc_id, text_key, set_key, root, n_links) of every document that has words; ``root`` is its group's first (doc_id, text_key)."""
+    c = _Candidates(docs, n, threshold, size, rows, step, tolerance)
+    links = written(c.both.mapInArrow(_links(n, threshold), "a bigint, a_text bigint, b bigint, b_text bigint, links bigint"), "links")
+    node = lambda a, b: F.struct(F.col(a).alias("doc_id"), F.col(b).alias("text_key"))
+    labels = components(links.select(node("a", "a_text").alias("x"), node("b", "b_text").alias("y")))
+    counted = links.groupBy(node("a", "a_text").alias("node")).agg(F.sum("links").alias("links"))
+    of_class = c.classes.select("set_key", node("rep", "text_key").alias("node"), "members")
+    known = of_class.join(counted, "node", "left").join(labels, "node", "left")
+    known = written(known.select("set_key", F.coalesce("label", "node").alias("root"), (F.coalesce("links", F.lit(0)) + F.col("members") - 1).alias("n_links")), "known")
+    out = written(c.features.select("doc_id", "text_key", "set_key").distinct().join(checked_broadcast(known), "set_key").select("doc_id", "text_key", "set_key", "root", "n_links"), "documents")
+    discard(c.features, c.classes, links, labels, known, *c.used)
+    return out
+
+
+def ngram_jaccard_join(docs: DataFrame, n: int = N, threshold: float = THRESHOLD, size: int = SIZE, rows: int = ROWS, step: int = STEP, tolerance: float = TOLERANCE) -> DataFrame:
+    """(doc_id, class_id, n_links) of every document that is similar to another: an n-gram similarity of ``threshold``.
+
+    ``n_links`` counts the other documents that it is similar to, exact copies among them. ``class_id`` is the
+    smallest doc_id that it is linked to over any chain of links. Copies are counted, not paired, so thousands of
+    them cost a row each; ``ngram_jaccard_pairs`` gives the links between different texts themselves. A candidate
+    at the very threshold is missed with a probability of ``tolerance`` a step, and 0.0016 by the bands; the more
+    similar, the less.
+
+    A document is a doc_id with a set of n-grams: an id that stands for several texts has a row for each of them
+    that is similar to another, and repeated rows count once. Null ids or texts, empty texts, and those without a
+    word, match nothing and have no row, nor have documents without a link. A text of fewer than n words is one
+    n-gram. Texts of any length are compared whole. Other columns are ignored; an empty table gives no rows.
+    """
+    found = _grouped_documents(docs, n, threshold, size, rows, step, tolerance)
+    return found.where("n_links > 0").groupBy("doc_id", "set_key").agg(F.first("root.doc_id").alias("class_id"), F.first("n_links").alias("n_links")).drop("set_key")
 
 
 def drop_near_copies(docs: DataFrame, n: int = N, threshold: float = THRESHOLD, size: int = SIZE, rows: int = ROWS, step: int = STEP, tolerance: float = TOLERANCE) -> DataFrame:
-    """The documents without those that are similar to one with a smaller doc_id in their group.
+    """The documents, with all their columns, less those that are similar to an earlier one of their group.
 
-    Groups are the connected components of the join. Documents that match nothing, null ones and those without
-    words included, stay. Rows that repeat a doc_id, and have words, are one document: one of them stays.
+    Groups are the connected components of the join; the document of smallest doc_id, of its texts that of
+    smallest hash, stays. Documents that match nothing, null and empty ones and those without words stay as they
+    are, repeated or not. Other rows that repeat a doc_id and its text are one document: one of them stays. Texts
+    that share a doc_id without being similar are documents of their own. An empty table stays empty.
     """
-    classes, near = _classes_and_pairs(docs, n, threshold, size, rows, step, tolerance)
-    dropped = written(groups(classes, near).where("doc_id <> keeper").select("doc_id").distinct(), "dropped")
-    stay = docs.join(checked_broadcast(dropped), "doc_id", "left_anti").select(docs.columns)
-    # repeated ids are rare: only their rows are shuffled
-    repeated = written(classes.where(F.col("members") > F.size("ids")).select(F.explode("ids").alias("doc_id")).distinct(), "repeated")
-    if not repeated.limit(1).count():
-        return stay
-    once = stay.join(checked_broadcast(repeated), "doc_id", "left_semi").select(docs.columns)
-    words = F.coalesce(F.col("text").rlike(r"(?U)\w"), F.lit(False))
-    return stay.join(checked_broadcast(repeated), "doc_id", "left_anti").select(docs.columns).unionByName(once.where(words).dropDuplicates(["doc_id"])).unionByName(once.where(~words))
+    found = _grouped_documents(docs, n, threshold, size, rows, step, tolerance)
+    own = F.struct("doc_id", "text_key")
+    dropped = written(found.where(own != F.col("root")).select(F.col("doc_id").alias("d_id"), F.col("text_key").alias("d_text")), "dropped")
+    key = text_key(docs["text"])
+    gone = checked_broadcast(dropped)
+    stay = docs.join(gone, (docs["doc_id"] == gone["d_id"]) & (key == gone["d_text"]), "left_anti")
+    # repeated rows are rare: only they are shuffled
+    again = docs.where("doc_id is not null and text is not null").groupBy(F.col("doc_id").alias("r_id"), key.alias("r_text")).agg(F.count(F.lit(1)).alias("c")).where("c > 1").select("r_id", "r_text")
+    again = written(again, "repeated")
+    if again.isEmpty():
+        return stay.select(docs.columns)
+    again = checked_broadcast(again)
+    same = (stay["doc_id"] == again["r_id"]) & (text_key(stay["text"]) == again["r_text"]) & stay["text"].rlike(r"(?U)\w")
+    rows_ = stay.join(again, same, "left_semi").select(F.struct(*docs.columns).alias("row"))
+    once = rows_.groupBy("row.doc_id", "row.text").agg(F.first("row").alias("row")).select("row.*")
+    return stay.join(again, same, "left_anti").select(docs.columns).unionByName(once)

@@ -81,11 +81,7 @@ def sketch(shingles: np.ndarray, size: int) -> np.ndarray:
         bins = ((h >> np.uint64(40)) % np.uint64(size)).astype(np.int64)
         np.minimum.at(low, bins.ravel(), ((h & np.uint64(0xFFFFFFFFFF)) + (rounds << np.uint64(40))[None, :]).ravel())
         at += block
-        empty = low == np.iinfo(np.uint64).max
-        if not empty.any():
-            break
-        if at >= 4 * size:  # a few shingles may miss a bin for long: the bin then takes the smallest of its own hash
-            for k in np.flatnonzero(empty):
-                low[k] = mix(shingles + mix(np.uint64(1_000_003) + np.uint64(k).reshape(1))).min()
+        # a few shingles miss a bin for long, so the rounds go on until every bin is reached
+        if (low < np.iinfo(np.uint64).max).all():
             break
     return (mix(low) & np.uint64(0xFFFF)).astype(np.uint16)
