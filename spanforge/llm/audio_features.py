@@ -133,7 +133,8 @@ def audio_features(media: DataFrame, rate: int = 8_000, coding: str = "mulaw", f
     values, by frame and then by filter, its shape is in the column's metadata, and ``tensors`` makes it an
     Arrow tensor. Times are in the recording; a segment that goes over clips is cut at them.
 
-    Null and empty payloads give no rows. Repeated rows and null ids are kept, other columns are ignored, and
+    Null and empty payloads give no rows; a recording of any length gives all its clips. A frame at the very
+    threshold is in a segment. Repeated rows and null ids are kept, other columns are ignored, and
     an empty table gives no rows.
     """
 

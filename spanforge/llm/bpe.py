@@ -245,7 +245,8 @@ def bpe_encode(docs: DataFrame, vocabulary: str | None = None, verify: bool = Tr
     """(doc_id, tokens, n_tokens, round_trip) of every document.
 
     ``vocabulary`` is the path of a file of base64 tokens and ranks. ``round_trip`` says that decoding the
-    tokens gave the text again. A null text has null tokens, count and round trip; an empty one has no tokens.
+    tokens gave the text again. A null text has null tokens, count and round trip; an empty one has no tokens. Texts
+    and words of any length are encoded whole. Of pairs of one rank the leftmost merges first.
     Repeated rows and null ids are kept, other columns are ignored, and an empty table gives no rows.
     """
     path = vocabulary or vocabulary_file(VOCABULARY)

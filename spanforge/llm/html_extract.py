@@ -9,7 +9,7 @@ from __future__ import annotations
 import html
 import math
 import re
-from collections import deque
+from collections import Counter, deque
 
 import numpy as np
 import pyarrow as pa
@@ -23,39 +23,54 @@ SAMPLE_PAGES = 2000
 #: Strength of smoothness edges: between neighbours, and between blocks of one parent.
 NEIGHBOUR, SIBLING = 1.0, 0.5
 _UNIT = 10_000
-_TAG = re.compile(r"<!--.*?(?:-->|\Z)|<(script|style|noscript|template|svg|head)\b[^>]*>.*?(?:</\1\s*>|\Z)|<!?(/?)([a-zA-Z][a-zA-Z0-9-]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>", re.S | re.I)
+#: Comments, elements without text, and tags. A tag ends before the next "<" outside quotes, and nothing is matched
+#: twice (possessive), so that broken markup is read in linear time.
+_TAG = re.compile(r"<!--.*?(?:-->|\Z)|<(script|style|noscript|template|svg|head)\b[^<>]*+>.*?(?:</\1\s*+>|\Z)|<!?(/?)([a-zA-Z][a-zA-Z0-9-]*+)((?:[^<>\"']|\"[^\"]*+\"|'[^']*+')*+)>", re.S | re.I)
 _INLINE = frozenset("a abbr acronym b bdi bdo big cite code data dfn em font i img input ins kbd label mark meta nobr q s samp small span strike strong sub sup time tt u var wbr".split())
 _VOID = frozenset("area base br col embed hr img input link meta source track wbr".split())
 _CLOSES = {"p": {"p"}, "li": {"li"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "option": {"option"}}
 _CONTENT = frozenset(("article", "main"))
 _FRAME = frozenset(("nav", "footer", "aside", "header", "form", "menu"))
-_AD = re.compile(r"""\b(?:class|id)\s*=\s*["']?[^"'>]*\b(?:ad|ads|advert|banner|menu|sidebar|cookie|share|promo|breadcrumbs?|navbar|footer)\b""", re.I)
+_NAMES = re.compile(r"""\b(?:class|id)\s*+=\s*+("[^"]*+"|'[^']*+'|[^\s"'>]++)""", re.I)
+_AD = re.compile(r"\b(?:ad|ads|advert|banner|menu|sidebar|cookie|share|promo|breadcrumbs?|navbar|footer)\b", re.I)
 
 
 class Block:
-    __slots__ = ("text", "links", "tag", "path", "hint")
+    """``depth`` counts the enclosing elements, ``common`` those shared with the block before; ``parent`` numbers the one around the innermost."""
 
-    def __init__(self, text: str, links: int, tag: str, path: tuple[int, ...], hint: int | None) -> None:
-        self.text, self.links, self.tag, self.path, self.hint = text, links, tag, path, hint
+    __slots__ = ("text", "links", "tag", "depth", "parent", "common", "hint")
+
+    def __init__(self, text: str, links: int, tag: str, depth: int, parent: int, common: int, hint: int | None) -> None:
+        self.text, self.links, self.tag, self.depth, self.parent, self.common, self.hint = text, links, tag, depth, parent, common, hint
 
 
 def blocks(page: str) -> list[Block]:
-    """Text blocks in page order. ``path`` numbers the enclosing elements; ``hint`` is 1 inside semantic content
-    elements, 0 inside frames and advertisements, else None. Unclosed and stray tags are tolerated."""
+    """Text blocks in page order. ``hint`` is 1 inside semantic content elements, 0 inside frames and
+    advertisements, else None. Unclosed and stray tags are tolerated; the time is linear in the page."""
     out: list[Block] = []
     stack: list[tuple[str, int, int | None]] = []
+    opened: Counter = Counter()
     pieces: list[str] = []
     links = anchors = number = at = 0
+    # the least depth since the last block: so much of its path is this one's too
+    least = 0
 
     def flush() -> None:
-        nonlocal links
+        nonlocal links, least
         if pieces:
             text = " ".join(html.unescape("".join(pieces)).split())
             if text:
-                out.append(Block(text, min(links, len(text)), stack[-1][0] if stack else "", tuple(n for _, n, _ in stack), stack[-1][2] if stack else None))
+                out.append(Block(text, min(links, len(text)), stack[-1][0] if stack else "", len(stack), stack[-2][1] if len(stack) > 1 else 0, least, stack[-1][2] if stack else None))
+                least = len(stack)
             pieces.clear()
         links = 0
 
+    def close(k: int) -> None:
+        nonlocal least
+        opened.subtract(x for x, *_ in stack[k:])
+        del stack[k:]
+        least = min(least, k)
+
     for m in _TAG.finditer(page):
         if m.start() > at:
             raw = page[at : m.start()]
@@ -75,22 +90,21 @@ def blocks(page: str) -> list[Block]:
         if name in _VOID:
             continue
         if m[2]:
-            for k in range(len(stack) - 1, -1, -1):
-                if stack[k][0] == name:
-                    del stack[k:]
-                    break
+            if opened[name]:
+                close(next(k for k in range(len(stack) - 1, -1, -1) if stack[k][0] == name))
             anchors = 0
         else:
             closes = _CLOSES.get(name)
             if closes and stack and stack[-1][0] in closes:
-                stack.pop()
+                close(len(stack) - 1)
             number += 1
             hint = stack[-1][2] if stack else None
             if name in _CONTENT and hint != 0:
                 hint = 1
-            elif name in _FRAME or (m[4] and _AD.search(m[4])):
+            elif name in _FRAME or (m[4] and any(_AD.search(x) for x in _NAMES.findall(m[4]))):
                 hint = 0
             stack.append((name, number, hint))
+            opened[name] += 1
     pieces.append(page[at:])
     flush()
     return out
@@ -146,14 +160,8 @@ def edges(page: list[Block], neighbour: float = NEIGHBOUR, sibling: float = SIBL
     seen: dict[int, int] = {}
     for k, b in enumerate(page):
         if k:
-            a, c = page[k - 1].path, b.path
-            common = 0
-            for x, y in zip(a, c):
-                if x != y:
-                    break
-                common += 1
-            out.append((k - 1, k, int(_UNIT * neighbour / (1 + len(a) + len(c) - 2 * common))))
-        parent = b.path[-2] if len(b.path) > 1 else 0
+            out.append((k - 1, k, int(_UNIT * neighbour / (1 + page[k - 1].depth + b.depth - 2 * b.common))))
+        parent = b.parent
         if parent in seen and seen[parent] < k - 1:
             out.append((seen[parent], k, int(_UNIT * sibling)))
         seen[parent] = k
@@ -225,14 +233,17 @@ def label(page: list[Block], weights: np.ndarray, neighbour: float = NEIGHBOUR,
 def fitted(pages: DataFrame, sample_pages: int = SAMPLE_PAGES) -> np.ndarray:
     known = pages.where("html is not null")
     chosen = known.select("page_id").orderBy(F.xxhash64("page_id"), "page_id").limit(sample_pages)
-    return fit([r.html for r in known.join(F.broadcast(chosen.distinct()), "page_id").select("page_id", "html").orderBy("page_id", "html").limit(sample_pages).collect()])
+    # one page of each id, picked by hash, so that repeated ids don't add to the sample
+    one = known.join(F.broadcast(chosen.distinct()), "page_id").groupBy("page_id").agg(F.min_by("html", F.struct(F.xxhash64("html"), "html")).alias("html"))
+    return fit([r.html for r in one.orderBy("page_id").collect()])
 
 
 def extract_html(pages: DataFrame, sample_pages: int = SAMPLE_PAGES, neighbour: float = NEIGHBOUR, sibling: float = SIBLING, weights: np.ndarray | None = None) -> DataFrame:
     """(page_id, text, n_blocks, n_content) of every page: its content blocks, one a line.
 
     The classifier is fitted on at most ``sample_pages`` pages, unless ``weights`` are given. A null page has
-    null results; an empty page, or one without text, an empty text. Broken markup is read as far as it goes.
+    null results; an empty page, or one without text, an empty text. Broken markup is read as far as it goes, and
+    pages of any length whole. Of equally cheap cuts the one with least content counts.
     Repeated rows and null ids are kept, other columns are ignored, and an empty table gives no rows.
     """
     w = fitted(pages, sample_pages) if weights is None else weights

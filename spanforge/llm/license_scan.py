@@ -43,6 +43,12 @@ SPELLINGS = (
     ("wilful", "willful"),
     ("https", "http"),
 )
+#: Words that follow "copyright" in the bodies of licences: lines that begin so are no copyright lines, however a text is wrapped.
+BODY_WORDS = tuple(
+    "all also and are disclaimer doctrines holder holders holdership if in interest interests law laws license licenses line like notice notices of on or patent permission representations resulting "
+    "right rights statement statements status the those treaty under you".split()
+)
+_BODY_LINE = "^copyright (?:" + "|".join(BODY_WORDS) + ")(?: |$)"
 _PUNCTUATION = r"[^\p{L}\p{M}\p{N}\n]+"
 
 
@@ -56,8 +62,11 @@ def canonical_lines(text: Column) -> Column:
 
 
 def whole_text(lines: Column) -> Column:
-    """The canonical text: all lines but the empty ones and copyright lines, as one string."""
-    return F.array_join(F.filter(lines, lambda x: (x != "") & ~x.startswith("copyright")), " ")
+    """The canonical text: all lines but the empty ones and copyright lines, as one string.
+
+    A copyright line begins with "copyright" and goes on with a year, a sign or a name.
+    """
+    return F.array_join(F.filter(lines, lambda x: (x != "") & (~x.startswith("copyright") | x.rlike(_BODY_LINE))), " ")
 
 
 def canonical(text: str) -> str:
@@ -69,13 +78,16 @@ def canonical(text: str) -> str:
     for one, other in SPELLINGS:
         text = text.replace(one, other)
     lines = (re.sub("^ +| +$", "", x) for x in text.split("\n"))
-    return " ".join(x for x in lines if x and not x.startswith("copyright"))
+    return " ".join(x for x in lines if x and (not x.startswith("copyright") or re.search(_BODY_LINE, x)))
 
 
 def known_digests() -> dict[str, str]:
-    """Digest of every known text -> its licence."""
-    short = {hashlib.sha256(canonical(text).encode()).hexdigest(): name for name, texts in LICENSES.items() for text in texts}
-    return short | {digest: name for name, digests in DIGESTS.items() for digest in digests}
+    """Digest of every known text -> its licence. No text is known under two names."""
+    out: dict[str, str] = {}
+    for name, digest in [*((n, hashlib.sha256(canonical(t).encode()).hexdigest()) for n, texts in LICENSES.items() for t in texts), *((n, d) for n, digests in DIGESTS.items() for d in digests)]:
+        if out.setdefault(digest, name) != name:
+            raise ValueError(f"{name} and {out[digest]} have a text in common")
+    return out
 
 
 def license_scan(docs: DataFrame) -> DataFrame:
@@ -85,8 +97,8 @@ def license_scan(docs: DataFrame) -> DataFrame:
     null), and "line" when a line from 0 on is one, as notices are. A text of a single line can give both.
     The known digests are a fixed list of this package, so their side of the join is always broadcast.
 
-    A null text gives no rows, nor does an empty text or line. A null doc_id is kept. Every repeated row gives
-    its own rows. Other columns are ignored; an empty table gives no rows.
+    A null text gives no rows, nor does an empty text or line. Texts of any length are read whole. A null doc_id is
+    kept. Every repeated row gives its own rows; a text has one licence at most, so there are no ties. Other columns are ignored; an empty table gives no rows.
     """
     spark = docs.sparkSession
     known = spark.createDataFrame(sorted(known_digests().items()), "digest string, license string")
@@ -108,7 +120,7 @@ def license_scan_sql() -> str:
     WITH known(digest, license) AS (VALUES {values}),
     canon AS (SELECT doc_id, {text} AS body FROM documents WHERE text IS NOT NULL),
     numbered AS (SELECT doc_id, body, unnest(string_split(body, chr(10))) AS line, generate_subscripts(string_split(body, chr(10)), 1) - 1 AS k FROM canon),
-    whole AS (SELECT doc_id, body, string_agg(trim(line), ' ' ORDER BY k) FILTER (WHERE trim(line) <> '' AND NOT starts_with(trim(line), 'copyright')) AS canonical FROM numbered GROUP BY doc_id, body),
+    whole AS (SELECT doc_id, body, string_agg(trim(line), ' ' ORDER BY k) FILTER (WHERE trim(line) <> '' AND (NOT starts_with(trim(line), 'copyright') OR regexp_matches(trim(line), '{_BODY_LINE}'))) AS canonical FROM numbered GROUP BY doc_id, body),
     units AS (SELECT doc_id, 'document' AS unit, CAST(NULL AS INTEGER) AS line_no, canonical FROM whole
               UNION ALL SELECT doc_id, 'line', CAST(k AS INTEGER), trim(line) FROM numbered)
     SELECT doc_id, unit, line_no, license FROM units JOIN known ON sha256(canonical) = digest WHERE canonical <> ''

@@ -91,87 +91,130 @@ LICENSES: dict[str, list[str]] = {
     "all-rights-reserved": ["All rights reserved."],
 }
 
-#: SHA-256 of the canonical form of long texts: whole, without title, without appendix or exhibits, as usually wrapped and
-#: with each paragraph on one line. Whole texts are those of /usr/share/common-licenses of Debian.
+#: SHA-256 of the canonical form of long texts: whole, without title, preamble, appendix or exhibits, however they are wrapped.
+#: The texts are those of /usr/share/common-licenses of Debian.
 DIGESTS: dict[str, list[str]] = {
     "Apache-2.0": [
-        "ebc600199db9838b4fc2d5288a12598c2702142177a89b3443f5cc87b137d94b",
-        "81e9b74a977a0320a7f1118705e033ed557f3f7d1e88cac937c574ad075941aa",
-        "23c0498e738b86da84fa1ffb1ff43f4ef103f365367077ada18cd1db1813d6da",
-        "01bae72428daaa79c11a657b3ce6735f5b0057878a890789bcbb7db20083a61e",
-        "98378616989e23431b15181388a001fdeac0999db741918e302c5162392bcfbd",
-        "b0552a470b35ebc6a8191e79a1840fa5a6ae46978f1b8a1dbb6eb94002fbbeb2",
-        "58ec6d5fc2c7c861a0579bd8a4e4f832e00f68129358986346951d4c9157ac0b",
-        "22005e4d8ceb3b3b34d3f07bb1e94a16fbe7aafa0a37267d928d0a0b3d2d26ef",
-        "bf840bfb1d4747a470a249e523f0e37060577fd0fb407d329b3fcb22d928d3f6",
-        "06982b8f42e04f5550bc6fe2fdc29fd15df1647fcba0f3a507cff1fb89ebb0cb",
-        "f6931511538e880f8684cb1354eecadb866994d94b9c8656ce4bda088062d8c2",
-        "4c5fcc2e1edd982a5d2a0fbd43ff1794e9b2af54dae33483442a7ce88030a646",
+        "b86cc8f4ca3b78dc6187c66567d6089a5911bbe4537e1fa0d5d9c38ce1b3749e",
+        "408d79782772308fe7ec4aeb2f0b2f9a28dcf9246ddcf0755c43e4d3fb4efa11",
+        "cb0c3bd3124478210522e8c821ca588654ce01e22f49f7da61cfbc25668b8487",
+        "086e581cfe5679fcadc2ee1f4e4e577fed68582bd6dd9e503442770cb65bc2fc",
+        "b63e30878385e7f72d51f917df9b848486580df38ea8700dfd55b39ca7079257",
+        "f782bbc3a5175cf828c2da74cf86ccd6bbfad04d443aa90daf761ec30057eef7",
+        "874e3f2cf98eebd990cbe0e47a9a29a86e88aaf5f66561cdc86fe4fe780f73ed",
+        "364a89b007e5a1e9311701f9c91994ecab0f812acc23dc6c61241406f24abecd",
+        "3af8cbd994b04c28567f09466b902886820f5597712a509ab0707890c2e1e598",
+        "7c2e8289ac9e39a0559a537cca83fa0584813416e51e1fd59c3bc339d60bd814",
+        "6eb5bd309beec31f73468edbde523f2466dcd15cda73ca01ee9effa48530bb54",
+        "ac7bd7e089f88be958691c4f8d0fea1a1892eef7d61b7a310e101d547b3852a2",
+    ],
+    "GPL-1.0": [
+        "9f6185ed2aa24f98f7cb52ad068f704dbc9b5951a986f6275e8bd7264f5a1e94",
+        "74d0cd23803c9754c36f6ca0e1af411b418ed6b6564e757472bf0d870a1b5d1b",
+        "af30c0af27b90ec812acdb040f3dcc944a87cd893456690efe35063f39e3eeeb",
+        "aecdcff3f590d98b063118405900b07d72191e6bc88e09a9375ea1eba62d0a87",
+        "839ed6871e0cf12ec5e9569c63feec3582da283bd67a626fc8f1489019021776",
+        "fe1873252d8745083e66d80464d2da16717163bb0602dbf3cb3feb012890731d",
+        "66b9393217e655fb7c337375a9e8a4dff7fe9f751b85057f95bad34b7edbd309",
+        "e930fb0779e7c3bb3d3ce08a14b60ef8b9297fd737f9fbd8337d75996ae4985e",
+        "5041c6edc49d34f3cccdfc098081e5abe8a1e8d377730ce81c43e3c3f20fca99",
     ],
     "GPL-2.0": [
-        "fb9cda6d3d24aaf9ebdd248927560e3150190f9a69ca16235922b53707048775",
-        "a0771202846b531ed3cb2cd05cede818563e92463ff2c2f51244ab4f0a129a83",
-        "178d586a448701f01712744f9de166175b5625d05f71dd532a3d694e2b935def",
-        "c67cc53030ae25fe2e2f0143b59060eca5ad89da8d2beca1445641234d29fc88",
-        "ae49934a47b15ec36e1ce1eb7504b3439c29f0e9be2ed0f60ba20ad7124dcb7c",
+        "cbce2709938501365973cbd4ead85f2d060294a310770d39aac679365387074a",
         "1551b61aa183f987ecceedd8966ec1e9b2da3848f8862c2adedc0d82f41904ca",
-        "b2246dca9ac64fcbfffd5300cb3c240183df88d2d2df502b8c2490b682a7ae53",
-        "dd21434bee83e1ff9efa74f9938464c48745347f04877fa50f17b14d21421f72",
-        "18fccca4ba2b0f97c1804f0978e03ec0d8a1b8d1204f06382ccb0c6d9e84fae4",
-        "1a6314df2f1b575a5d85b1f2449d90edf9085f748178b506230a46a4ff5075d2",
-        "95dac50003820120c02d3f511c4bdc7397eff784fb6329840762ae5d498b8035",
+        "c67cc53030ae25fe2e2f0143b59060eca5ad89da8d2beca1445641234d29fc88",
+        "27dca172b6c17f7f3a066d31079eff9a2e75d39664fbaf6ee8f8b7586c2b87b2",
+        "85f8b10454f175f72b3b26408affb942e7d63794173cb26a7e456c8ac1b7e23d",
+        "a94437b9d88da4c876b7f24826d67f8d272471a359e2ab7854a62e81d9c08463",
+        "4537ee5366b67e414f4235da7df4e4f5f32dc28af12c89f0be37f4521590048c",
         "69da3f4eabbfbe9eee5464483b20baed123a4b12624331097a4428c49e2eb621",
+        "1a6314df2f1b575a5d85b1f2449d90edf9085f748178b506230a46a4ff5075d2",
+        "833a818b1e1b7329ecef82692fc79cde98a12213ee020e8e356a9c3be906c216",
+        "404d0fa7f4182a1ff4dc62e3d60300708a2c69f97bdd7ecf6f6dbef608da7a09",
+        "9759758b719d71439c7e148750040c0c535582e6bf4835b91fafd81799da13ce",
     ],
     "GPL-3.0": [
-        "4a8a94321eef360bfaedf36722be08f204196c6825b0ff947b0388cae7268e6a",
-        "c10c5328b0bdb291364f31e834c1a8e342fbc1234448069f8b14c3343dde8531",
-        "1328f675e86a4ef30d04df0ccc382db5d00a020684e89b12e8c56931910dd015",
-        "458871fe6fdcfa19fbe9be515ba7fe95f116b785b20ff21a6b874342b8b4b665",
-        "ab649c0f1262bcbdc69500bd8133197e312a1a9f6f70370cbbcc10ffee38e92f",
-        "220423eafd02f3f132f849c78f9ed1cab6d0d8502af4e0727677a5badc55e3fc",
-        "1c6b8f28e779bed3eab3a025da38c5d643067c64338875b557d3a50ae3d9753f",
-        "f223c66c2c027cd0640fe66f9c71075640708122bc031f5d343259a8d73b3c46",
-        "733ea6e5c2ee526988e9979e43ef606bc08be7effa8de095c402cacacf13ee69",
-        "b53043373cf3e7a2203483ca57fd75601b3014f06a25f256e31ef94f9147973e",
-        "fbce0396b6e567a0fcf3092a68f44455cb39ca39b18bdc2ac0f8ba1f050a848f",
-        "ce8df5b8d2343a5f2a3420de01ce49415c7d9eb44a7d97d80c360af1a223cec3",
+        "826f46a485ae3ded4f243bebe658a26a4fb54fcf2467f8848117918212679d02",
+        "57f71ba95bda9ddb21fcd4d2b6841fdc3ef7fcebd5c12a2fd2ee5f2027869fc6",
+        "5b8bbbc08610f585b26c4d45ec4c46b3a401532b9362524e72b89d9db72bcb4f",
+        "e7cac810f773133134b45e83e20cedf82b661b3f347310ca43ef698256922d3e",
+        "9f2a3930410e05d0fba107cc24bef3addad154f3d49827e7e9bd7db77a4f2c93",
+        "e127b2a2825044603df355ea7af3db35928974d380c65bf1ef34326b727cfee8",
+        "4c2843fc1504208702c00e62a3c7a7be9d65b91e9f5cfca3527ec97000420123",
+        "95bfc248ab628e2c1fffd4fa12d62559bcdfb8cf4fd29f45c86e899031441101",
+        "e5304cda005d381ea567538753c6880a7dfe3d3a92c5a95e7c2878cf5748231c",
+        "7c01e480dca2ddfe606104f1ae6090020840437a069515d7c010b66ff4df7d46",
+        "e7ee04a39f782791e82bcef9d49f85a95ce23ceaa5b9f2aafcdaf6601f7800d2",
+        "e83bdb118c292e013f64ea7c059882875c281e9cc5cd3b6e912422f3646e009c",
+    ],
+    "LGPL-2.0": [
+        "ca88a167d481bc99831aab1ae52903c7b926ac8e49bd138ceb9213fd167eda81",
+        "5b76795361ffca92776bfb6f87f31cc8c230526d08f639d965de248bd171ca59",
+        "02fd8287939a10c62ed7dfb331733c7873c728e1fed2a3e9a79e8cf81c9fe955",
+        "e40fbc9071cda786ae6b416a13d7d6f8cce6dea51fe9d5d87d8309a54226c63a",
+        "f33db834104a51d233a7c44f16bb0432dade1ccb04c9b62b95286985c24f36cb",
+        "df0df71bba04c47722dec6a96632550c38eae1108a14a18125d7bfb9bb2b59b6",
+        "3b690f9766d0146bc75b9d22930e70884d860e725e9608139c965b530d1a0baf",
+        "4d0b0fef0ea944d47de52ed05598ca7cf2c2cfb278d7ec31c4e0d5b410dd8e77",
+        "964425fe40e23d9342c1ea2abca7dc8dcc18c4c11fef46008e312227e6d44821",
+        "98d31c6d7f2e66c2767b9427c026f85c7f87eb88ee04742a481bf32d78d890b3",
+        "8f77445973d45bd545ce8b76921f8a6684bf3fd0d58a65fb332d82d2937d5f09",
+        "40e384747a9e76b605bb12aa01ab5104224cfa39d22cef39c3878017b334dfc9",
     ],
     "LGPL-2.1": [
-        "a85084b195866fe5aa81ee399a54444581dffa68e7bb2559e143718f6e2693bb",
-        "32ffbf880bdc9fe7f677b5c3a036ca44c943c3abe7a51d81c08cfc1502ac10fc",
-        "9bf9c99aeafbdbccd7456a00d574699e3deb41868375496cacbf170be719bebd",
-        "bf2f0c6bf1c47b3b1e3cbedeefecddd1e7db21d1919858d45c2f918efaf426df",
-        "963f79d48038eed98d8341c84d8d3b765e99508a738d00654c0112f70a7c370c",
-        "48d2010e70a815a564f914b0c7c1e80d7a6843793348fed3684c957112fe0aa4",
-        "faf10fdd9d5ca55e7bd09bf8e0213e8425c5ccb216bdeb7b40779cabf352960b",
-        "d8aa6f8f30dbbd661d824de6ae58f0d5242f0890058b40899a4087ad911f9531",
-        "368fdf0a3d97a758b90b6146ade423561754e31f1540437434047eac2d959e41",
-        "2ef2859ae4577e1d4a14d215abfe8c8b9f6e4ba7dca97a8b81b6c205bf62d7ad",
-        "446a8adc2da9c55e139c3564c793b6cc9741cfe224e9d47740bda2d268025527",
-        "73ac55304afe4c219acdd0cb7683daf4fe3772c9b493da4a095d93a7789311d5",
+        "ede2b00a7c3823a62ef837da1b2e848d4151187ba307a2f23aebaeebbc80bf7c",
+        "e8fff5aab68f3784c88bdf6c7d677d555dbfc3274d7e0a03da4870604bf989ed",
+        "f71ed154dfc5ed428b3389d785fc8ae6e6cde015405891fcbaec797514b833a0",
+        "6d4456e69542b0bdfe55a1e5ff3d5510c6f1c070d4be28bc8f0616b757eacd8a",
+        "8d5b84a8562d7a52a0562dced4db7500e4e40b068bc3d29c20c9a32af88ec26e",
+        "f0a7add247e0ff2efb549f787aab73d27e54a5bb29bbed7827ab5206e470e149",
+        "393e1ddbb6239de173446a892723995c0cd79699199438bd3d80a5cb24e3d747",
+        "6a05654e8516c08f53dd79eda8dc6f64ec5cb0edb335dd7b4f468814f6370121",
+        "1cdacd682eb34b74ad106f110259926fb3a831815ab055d05d8a45cb344151d8",
+        "0534f6e027184060b0944744471f13e1c620d6a826b023889e7957c2018179c4",
+        "1bb278c3128e4c5c64570bd84130b0cdee36b000b586b864fa8eef5d317de90e",
+        "54c77963e266095f5fe970713f7518c08f5cb858fc31c829ade808d60b304ff9",
     ],
     "LGPL-3.0": [
         "aae2b222477171fb64e298e7965e768a9a6f85320646b266c94399ac029d42be",
+        "e1c7b25e9116bcad127297bbfb82e6a89822822ba6bfa3af9eae995aad877765",
         "3c109b32fc12cedb18f514c338498353cbbafbc7ad3aa3aed8c864396943f25a",
     ],
+    "MPL-1.1": [
+        "f1daf3234686278093cf1137babd0598754ada714f0fc44e06e080008f7c6b38",
+        "92aaf1fc5b066f9ba2e811c7fee8120509ba91288bba593ed94ab9a7e3616e55",
+        "f7edac59b34c646c6e42446ec9860cbb611d0f4502d4ded414ec07127ffd1f3b",
+        "409bb188d198332a8024e75ddf9f39ae565125f2ff79271ca93472de417c8ece",
+    ],
     "MPL-2.0": [
-        "9e79a7d513376f6fa1500e4df4f6276c6e7e61c5c3e28dcdb1acee24033acc56",
-        "d93233202a0668a0f31517049a3528a401f8f1f11163fb748b48624e00a39a1c",
-        "2cec6f733aa157c2d0b72e9669f75ca354f332218fcb5a3a885931f385272a04",
-        "69b2403d1e65116a809c153afcdfbd7189770071966d66fb94619c9dbe591b5f",
-        "cb61831d1e7c4eacf4c4c98e729f36a42dfc73a3180f25f9892e01a3e88b01e3",
-        "ca7b382f64ed5a1f3575a1155a15e37126b588324c47ecbbdc655deec0dd2408",
-        "d0c5ff4b1b1df9ae8ac7381433e58aaf10308f4e9fd6a32597b6b0e01220a0a6",
-        "2ffe1b02b10b3945db7edb98a4daa9c62ca2cc9a7e0510dfb0b06e6e5f79435b",
-        "fa31bb5fe4dacb07f1a4ad162be58edb552e9a96a500b68e081943eb2d3cfec5",
-        "48d4c0c134eba12fe76395f32d60c0a361aaff3d5c85fd71fd8f51717387d0cb",
-        "fdffabca9742653335fa87249b9974c90f4f111b3586ff20d72cd86920d6550d",
-        "c3401a518d8288c43362c07ff66da8ab84fba271fd805d57915f9df4d4c2675e",
+        "4cabe7a78fd77da2d52b1a2929bf10219e45cfc14279d76a49774370a74b3d17",
+        "8d0eccad062958e31288b7e815bc76f95b5da53a66feb490c3b44cec5b07f538",
+        "da79d8c581c2a42b486948b54a56ee2dd7a105d8eceaa4203dfe5e0433d433b3",
+        "5c52293944b1cb21a22557fc5d6bf6a080a8e8d3d635e921f5727daf4bc1ae36",
+        "30a43a476448743c8d4de4e8aab798503e303cfc7354a38ff0aa00fe94b19f74",
+        "fda4ed4a13c86ab7ecdb336e9c08eeabee86d001d5c6c1553fffc9a22f5f2fd3",
     ],
     "CC0-1.0": [
         "96bdc7f63190fb4bd1ae584b890300ed7517d858b34c945642a3b9b2f1612a5f",
         "a142ae38742c8c4c35f5fa19e0a40ebfa60fc38535daf9c570ca3d7e012e1e32",
-        "e3ba2aff64372f535373996fe68b166f9e97dc1ead5b471981213ebb8f310ad6",
         "4f8ab63ace774f37529081c81e2730a88143bf70e67392bd3c3701bd0a175152",
     ],
+    "GFDL-1.2": [
+        "58b6ebdf2bd26f81dd551d8efda909bfbc8914ce77996a5c289c28616b91ceeb",
+        "b42a0505cefe2091ed99b0f621f0b01f682de48f6ab6aff8e404557bca6d5bff",
+        "1e14907aea6472fd04f34e9b7fc14056165f9e77a12b667db60e78b51299db30",
+        "a13f2842d54dedc8298b8756a20aabaceb17571a2ac86f8fc770b9e0b0e8356a",
+    ],
+    "GFDL-1.3": [
+        "c4f8ea2b5247ab1ff721ce8255137250d4c14f50a0fb68c00fd793f496ced65e",
+        "7d0e9d3e3194e4314ea1200179cbe2a845f9c80b59ec444aed48e7eb87d8c5f8",
+        "c1276123d4906da86eea1a4b8a994fec6835206514446b899a66bf0e9f14ba24",
+        "cbc3dbca74660e987e1610bfe10106d400835a54e40b659f2ffea4448854e2e1",
+    ],
+    "Artistic-1.0": [
+        "c9bcba9e70d36ab628a0944e717aa88f7b65f5755a9f3061c584801892429806",
+        "fdeaa98e60b13d34bf2a01960e531c12ba712d4615fb37dd068eda36f31ae176",
+        "ae7033a87da062313020a206981cbfe1d8b2e09881d8cb84f4c4441e0bda953b",
+        "7e8dafe4b58c22056360b2dcf027988e2d8ad581e0504ec682b7b97779a646a6",
+    ],
 }

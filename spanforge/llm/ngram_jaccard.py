@@ -278,6 +278,19 @@ def ngram_jaccard_join(docs: DataFrame, n: int = N, threshold: float = THRESHOLD
     return found.where("n_links > 0").groupBy("doc_id", "set_key").agg(F.first("root.doc_id").alias("class_id"), F.first("n_links").alias("n_links")).drop("set_key")
 
 
+def ngram_jaccard_sql() -> str:
+    """``ngram_jaccard_join`` of the documents table by brute force over common n-grams, where ids are unique."""
+    return f"""
+    WITH RECURSIVE split AS (SELECT DISTINCT doc_id, regexp_extract_all(lower(text), '[\\p{{L}}\\p{{N}}_]+') AS ws FROM documents WHERE doc_id IS NOT NULL AND text IS NOT NULL),
+    grams AS (SELECT DISTINCT doc_id, unnest(CASE WHEN len(ws) < {N} THEN [array_to_string(ws, ' ')] ELSE list_transform(range(1, len(ws) - {N - 2}), lambda i: array_to_string(ws[i:i + {N - 1}], ' ')) END) AS gram FROM split WHERE len(ws) > 0),
+    sizes AS (SELECT doc_id, count(*) AS n FROM grams GROUP BY doc_id),
+    common AS (SELECT x.doc_id AS a, y.doc_id AS b, count(*) AS c FROM grams x JOIN grams y ON x.gram = y.gram AND x.doc_id <> y.doc_id GROUP BY ALL),
+    near AS (SELECT a, b FROM common JOIN sizes x ON a = x.doc_id JOIN sizes y ON b = y.doc_id WHERE c >= {THRESHOLD} * (x.n + y.n - c)),
+    reach AS (SELECT a, b FROM near UNION SELECT r.a, e.b FROM reach r JOIN near e ON r.b = e.a)
+    SELECT a AS doc_id, min(b) AS class_id, (SELECT count(*) FROM near WHERE near.a = reach.a) AS n_links FROM reach GROUP BY a
+    """
+
+
 def drop_near_copies(docs: DataFrame, n: int = N, threshold: float = THRESHOLD, size: int = SIZE, rows: int = ROWS, step: int = STEP, tolerance: float = TOLERANCE) -> DataFrame:
     """The documents, with all their columns, less those that are similar to an earlier one of their group.
 

@@ -49,7 +49,10 @@ def signature(text: str, k: int, length: int, factors: np.ndarray) -> np.ndarray
     out = np.empty(size, np.uint64)
     step = max(1, _CELLS // len(kmers))
     for at in range(0, size, step):
+        # two rounds, so that high bits reach low ones too
         h = (keys[None, :] ^ factors[0, at : at + step, None]) * factors[1, at : at + step, None]
+        h ^= h >> np.uint32(16)
+        h *= factors[1, at : at + step, None]
         rows = np.arange(len(h))
         chosen = np.empty((len(h), take), np.int64)
         for j in range(take):
@@ -67,7 +70,9 @@ def order_minhash(docs: DataFrame, k: int = K, length: int = LENGTH, size: int =
     """(doc_id, signature) of every document; ``signature`` is an array of ``size`` hashes.
 
     A text of fewer than k words is one k-mer, and one with fewer than ``length`` k-mers gives tuples of all
-    of them. Null and empty texts, and those without words, have a null signature. Repeated rows and null ids
+    of them. Texts of any length are read whole. Equal k-mers are told apart by their number, so ties don't occur but
+    by equal hashes, of which the first in the text counts. Null and empty texts, and those without words, have a null
+    signature. Repeated rows and null ids
     are kept, other columns are ignored, and an empty table gives no rows.
     """
     factors = multipliers(size)

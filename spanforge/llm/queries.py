@@ -14,7 +14,7 @@ from spanforge.llm.language_id import identify_languages
 from spanforge.llm.license_scan import license_scan, license_scan_sql
 from spanforge.llm.line_templates import drop_recurring_lines
 from spanforge.llm.mixing import mixing_rates
-from spanforge.llm.ngram_jaccard import ngram_jaccard_join
+from spanforge.llm.ngram_jaccard import ngram_jaccard_join, ngram_jaccard_sql
 from spanforge.llm.order_minhash import order_minhash
 from spanforge.llm.toxicity import toxicity
 
@@ -73,4 +73,4 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 }
 
 #: The other operators have no SQL: templates, tilting, sketches, forward sums and merges are tested against brute force.
-ORACLE_SQL: dict[str, str] = {"op1_license_scan": license_scan_sql()}
+ORACLE_SQL: dict[str, str] = {"op1_license_scan": license_scan_sql(), "op9_ngram_jaccard_join": ngram_jaccard_sql()}

@@ -35,50 +35,65 @@ GAPS = " .-_*~'’·"
 _READ, _BREAK = math.log(0.5), math.log(0.5)
 _JOIN, _SPLIT = math.log(0.9), math.log(0.1)
 _ONE, _TWO = math.log(0.6), math.log(0.4)
+#: Costs of reading a run of signs once or twice, or as often as it stands there.
+_SHARE = (math.log(0.4), math.log(0.2))
 _SYMBOLS = "".join(re.escape(x) for x in LEET)
 _GAP = "[" + re.escape(GAPS) + "]"
 #: Three single characters or more with gaps between them, one of the gaps in a row or several.
 _SPACED = re.compile(rf"(?<![^\s])(?:[^\W_]|[{_SYMBOLS}])(?:{_GAP}+(?:[^\W_]|[{_SYMBOLS}])){{2,}}(?![^\s.,;:!?])")
 _SUSPECT = re.compile(rf"[{_SYMBOLS}]|([^\W\d_])\1\1|[^\W\d_]{_GAP}[^\W\d_]")
 _LETTER = re.compile(r"[^\W\d_]")
-_EDGE = re.compile(r"^(?:([^\w\s])\1{2,}|[\"«»“”#%&,;:?)\]}>])+|(?:([^\w\s])\2{2,}|[\"«»“”#%&,;:?!.)\]}>])+$")
+#: Plain numbers, amounts and dates: nobody reads words in them.
+_NUMBER = re.compile(r"[-+$€£(]*\d[\d.,:/+-]*[%€£$)]*")
+_EDGE = re.compile(r"^(?:([^\w\s@$|+(€£])\1{2,}|[\"«»“”#%&,;:?)\]}>])+|(?:([^\w\s@$|+(€£])\2{2,}|[\"«»“”#%&,;:?!.)\]}>])+$")
 
 
 _scorers: dict[str, Scorer] = {}
 
 
-def _codes(text: str) -> np.ndarray:
-    """12-bit character codes; letters beyond share the last one."""
-    return np.minimum(np.frombuffer(text.encode("utf-32-le", "replace"), np.uint32), 4095).astype(np.int64)
+#: Bits of a character: histories of ORDER - 1 of them are exact in 63 bits.
+_BITS = 21
+_CODE = (1 << _BITS) - 1
+_BLANK = 32
+_START = sum(_BLANK << (_BITS * k) for k in range(ORDER - 1))
+_HISTORY = (1 << (_BITS * (ORDER - 1))) - 1
 
 
-def ngram_counts(words: Counter) -> tuple[np.ndarray, np.ndarray]:
-    """Counts of the runs of ORDER characters in words, each with ORDER - 1 blanks before it and one behind."""
+def _summed(heads: np.ndarray, codes: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Counts of equal (history, character), in their order."""
+    order = np.lexsort((codes, heads))
+    heads, codes, counts = heads[order], codes[order], counts[order]
+    if not len(heads):
+        return heads, codes, counts
+    first = np.flatnonzero(np.concatenate(([True], (heads[1:] != heads[:-1]) | (codes[1:] != codes[:-1]))))
+    return heads[first], codes[first], np.add.reduceat(counts, first)
+
+
+def ngram_counts(words: Counter) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Characters after each history of ORDER - 1 of them in words, which have blanks before and one behind: histories, characters, counts."""
     if not words:
-        return np.empty(0, np.int64), np.empty(0, np.int64)
+        return (np.empty(0, np.int64),) * 3
     pad = " " * (ORDER - 1)
     padded = [pad + w + " " for w in words]
-    x = _codes("".join(padded))
+    x = np.frombuffer("".join(padded).encode("utf-32-le", "replace"), np.uint32).astype(np.int64)
     weight = np.repeat(np.fromiter(words.values(), np.int64, len(words)), [len(p) for p in padded])
-    key = np.zeros(len(x) - ORDER + 1, np.int64)
-    for k in range(ORDER):
-        key = (key << 12) | x[k : len(x) - ORDER + 1 + k]
+    head = np.zeros(len(x) - ORDER + 1, np.int64)
+    for k in range(ORDER - 1):
+        head = (head << _BITS) | x[k : len(x) - ORDER + 1 + k]
     # a run that ends in the blanks before the next word is no run of this one
     last = x[ORDER - 1 :]
-    real = (last != 32) | (x[ORDER - 2 : -1] != 32)
-    keys, at = np.unique(key[real], return_inverse=True)
-    return keys, np.bincount(at, weight[ORDER - 1 :][real]).astype(np.int64)
+    real = (last != _BLANK) | (x[ORDER - 2 : -1] != _BLANK)
+    return _summed(head[real], last[real], weight[ORDER - 1 :][real])
 
 
-def _added(parts: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray]:
-    keys, at = np.unique(np.concatenate([k for k, _ in parts]), return_inverse=True)
-    return keys, np.bincount(at, np.concatenate([c for _, c in parts]), len(keys)).astype(np.int64)
+def _added(parts: list[tuple[np.ndarray, ...]]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    return _summed(*(np.concatenate(x) for x in zip(*parts)))
 
 
 def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     take_memory("toxicity", _scorers.clear)
     words: Counter = Counter()
-    parts: list[tuple[np.ndarray, np.ndarray]] = []
+    parts: list[tuple[np.ndarray, ...]] = []
     for batch in batches:
         for text in batch.column("text").to_pylist():
             words.update(text.lower().split())
@@ -87,27 +102,33 @@ def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 words.clear()
                 if len(parts) > _HELD:
                     parts = [_added(parts)]
-    keys, counts = _added([*parts, ngram_counts(words)])
-    yield pa.RecordBatch.from_arrays([pa.array(keys), pa.array(counts)], ["gram", "n"])
+    heads, codes, counts = _added([*parts, ngram_counts(words)])
+    yield pa.RecordBatch.from_arrays([pa.array(heads), pa.array(codes.astype(np.int32)), pa.array(counts)], ["head", "code", "n"])
 
 
-def character_counts(docs: DataFrame) -> tuple[np.ndarray, np.ndarray]:
-    """Character runs of the words of all documents with their counts."""
-    rows = docs.where("text is not null").select("text").mapInArrow(_count, "gram bigint, n bigint").groupBy("gram").agg(F.sum("n").alias("n")).orderBy("gram").toArrow()
-    return rows.column("gram").to_numpy(), rows.column("n").to_numpy()
+def character_counts(docs: DataFrame) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Characters after histories in the words of all documents, with their counts.
+
+    Distinct runs of four characters come to the driver: their number follows the alphabets of a corpus, with the
+    power 0.3 of its size in measured tables, and each is 20 bytes there and in a worker.
+    """
+    rows = docs.where("text is not null").select("text").mapInArrow(_count, "head bigint, code int, n bigint").groupBy("head", "code").agg(F.sum("n").alias("n")).toArrow()
+    return _summed(rows.column("head").to_numpy(), rows.column("code").to_numpy().astype(np.int64), rows.column("n").to_numpy())
 
 
 class CharacterModel:
-    """Character probabilities after a history, interpolated from the full order down to single characters."""
+    """Character probabilities after a history, interpolated from the full order down to single characters.
 
-    def __init__(self, grams: np.ndarray, counts: np.ndarray) -> None:
-        self.levels: list[tuple[dict[int, int], dict[int, int]]] = []
+    Every order is a sorted array, not a dictionary, so that a worker holds few bytes a run.
+    """
+
+    def __init__(self, heads: np.ndarray, codes: np.ndarray, counts: np.ndarray) -> None:
+        self.levels = []
         for order in range(1, ORDER + 1):
-            keys, at = np.unique(grams & ((1 << (12 * order)) - 1), return_inverse=True)
-            n = np.bincount(at, counts, len(keys)).astype(np.int64) if len(keys) else np.empty(0, np.int64)
-            heads, to = np.unique(keys >> 12, return_inverse=True)
-            total = np.bincount(to, n, len(heads)).astype(np.int64) if len(heads) else np.empty(0, np.int64)
-            self.levels.append((dict(zip(keys.tolist(), n.tolist())), dict(zip(heads.tolist(), total.tolist()))))
+            h, c, n = _summed(heads & ((1 << (_BITS * (order - 1))) - 1), codes, counts)
+            first = np.flatnonzero(np.concatenate(([True], h[1:] != h[:-1]))) if len(h) else np.empty(0, np.int64)
+            totals = np.add.reduceat(n, first) if len(h) else n
+            self.levels.append((h[first], np.append(first, len(h)), totals, c.astype(np.int32), n))
         self.known: dict[tuple[int, int], float] = {}
 
     def log_probability(self, history: int, code: int) -> float:
@@ -115,17 +136,23 @@ class CharacterModel:
         at = (history, code)
         if at not in self.known:
             p = 1 / 4096
-            for order, (grams, heads) in enumerate(self.levels, 1):
-                head = history & ((1 << (12 * (order - 1))) - 1)
-                p = (grams.get((head << 12) | code, 0) + 5 * p) / (heads.get(head, 0) + 5)
+            for order, (heads, first, totals, codes, counts) in enumerate(self.levels, 1):
+                head = history & ((1 << (_BITS * (order - 1))) - 1)
+                k, n, total = int(heads.searchsorted(head)), 0, 0
+                if k < len(heads) and heads[k] == head:
+                    total = int(totals[k])
+                    j = int(first[k] + codes[first[k] : first[k + 1]].searchsorted(code))
+                    n = int(counts[j]) if j < first[k + 1] and codes[j] == code else 0
+                p = (n + 5 * p) / (total + 5)
             if len(self.known) > _CACHE:
                 self.known.clear()
             self.known[at] = math.log(p)
         return self.known[at]
 
 
-def lattice(span: str) -> list[list[tuple[str, float]]]:
-    """Readings of every place of a span with their channel costs. A run of three or more equal letters is one place."""
+def lattice(span: str, breaks: bool = True) -> list[list[tuple[str, float]]]:
+    """Readings of every place of a span with their channel costs. A run of three or more equal letters, or signs, is
+    one place. With ``breaks`` a sign may also stand between words."""
     out: list[list[tuple[str, float]]] = []
     k = 0
     while k < len(span):
@@ -134,7 +161,9 @@ def lattice(span: str) -> list[list[tuple[str, float]]]:
         while run < len(span) and span[run] == c:
             run += 1
         if c in LEET:
-            out.extend([[*((x, _READ - math.log(len(LEET[c]))) for x in LEET[c]), (" ", _BREAK)]] * min(run - k, 2))
+            each = [*((x, _READ - math.log(len(LEET[c]))) for x in LEET[c]), *([(" ", _BREAK)] if breaks else [])]
+            # a long run is a repetition of one sign, or each of its signs is meant
+            out.extend([each] * (run - k) if run - k < 3 else [[(x * n, s + _SHARE[n > 2]) for x, s in each for n in (1, 2, run - k) if x != " " or n == 1]])
         elif c in GAPS:
             out.append([("", _JOIN), (" ", _SPLIT)])
         elif run - k >= 3:
@@ -147,35 +176,42 @@ def lattice(span: str) -> list[list[tuple[str, float]]]:
     return out
 
 
-def decode(span: str, model: CharacterModel) -> str:
+def _spelt(node: tuple | None) -> str:
+    out = []
+    while node is not None:
+        node, c = node
+        out.append(c)
+    return "".join(reversed(out))
+
+
+def decode(span: str, model: CharacterModel, breaks: bool = True) -> str:
     """The likeliest reading of a span, words apart by single blanks. Viterbi over character histories; ties go to the reading that sorts first."""
-    blank = 32
-    mask = (1 << (12 * (ORDER - 1))) - 1
-    start = sum(blank << (12 * k) for k in range(ORDER - 1))
-    best: dict[int, tuple[float, str]] = {start: (0.0, "")}
-    for place in [*lattice(span), [(" ", 0.0)]]:
-        after: dict[int, tuple[float, str]] = {}
-        for history, (score, text) in best.items():
+    # a reading is a chain of its characters from the last one back, so that a long span isn't copied at every place
+    best: dict[int, tuple[float, tuple | None]] = {_START: (0.0, None)}
+    for place in [*lattice(span, breaks), [(" ", 0.0)]]:
+        after: dict[int, tuple[float, tuple | None]] = {}
+        for history, (score, chain) in best.items():
             for reading, cost in place:
-                h, s, t = history, score + cost, text
+                h, s, t = history, score + cost, chain
                 for c in reading:
-                    if c == " " and h & 4095 == blank:
+                    if c == " " and h & _CODE == _BLANK:
                         continue
-                    code = min(ord(c), 4095)
+                    code = ord(c)
                     s += model.log_probability(h, code)
-                    h, t = (start if c == " " else ((h << 12) | code) & mask), t + c
+                    h, t = (_START if c == " " else ((h << _BITS) | code) & _HISTORY), (t, c)
                 old = after.get(h)
-                if old is None or s > old[0] + 1e-12 or (abs(s - old[0]) <= 1e-12 and t < old[1]):
+                if old is None or s > old[0] + 1e-12 or (abs(s - old[0]) <= 1e-12 and _spelt(t) < _spelt(old[1])):
                     after[h] = (s, t)
         best = after
-    return max(best.values(), key=lambda x: (x[0], x[1]))[1].strip()
+    return max(((s, _spelt(t)) for s, t in best.values()))[1].strip()
 
 
 def restored_words(token: str, model: CharacterModel) -> list[str]:
     """Words of a lower-case token, read through the channel if it has marks of it."""
     core = _EDGE.sub("", token)
-    if core and _SUSPECT.search(core) and _LETTER.search(core):
-        return [*_WORD.findall(token), *decode(core, model).split()]
+    if core and _SUSPECT.search(core) and not _NUMBER.fullmatch(core):
+        # a token of signs alone is read as a word or not at all: breaks at each of them would always be likelier
+        return [*_WORD.findall(token), *decode(core, model, bool(_LETTER.search(core))).split()]
     return _WORD.findall(token)
 
 
@@ -255,8 +291,11 @@ def fitted(docs: DataFrame, labels: DataFrame, sample_toxic: int = SAMPLE_TOXIC,
     each = labels.where("doc_id is not null and toxic is not null").groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
     order = (F.xxhash64("doc_id"), F.col("doc_id"))
     chosen = each.where("toxic = 1").orderBy(*order).limit(sample_toxic).unionByName(each.where("toxic = 0").orderBy(*order).limit(sample_clean))
-    rows = docs.where("text is not null").select("doc_id", "text", _language(docs)).join(F.broadcast(chosen), "doc_id").select("text", "toxic", "lang").toArrow()
-    triples = sorted(zip(*(rows.column(c).to_pylist() for c in ("text", "toxic", "lang"))), key=lambda x: (*x[:2], x[2] or ""))[: sample_toxic + sample_clean]
+    # one text of each id, picked by hash, so that repeated ids don't add to the sample
+    texts = docs.where("text is not null").select("doc_id", "text", _language(docs)).join(F.broadcast(chosen), "doc_id")
+    one = texts.groupBy("doc_id").agg(F.first("toxic").alias("toxic"), F.min_by(F.struct("text", "lang"), F.struct(F.xxhash64("text"), "text", "lang")).alias("x"))
+    rows = one.select("x.text", "toxic", "x.lang").toArrow()
+    triples = sorted(zip(*(rows.column(c).to_pylist() for c in ("text", "toxic", "lang"))), key=lambda x: (*x[:2], x[2] or ""))
     by_language = {x: fit(*zip(*((t, y) for t, y, z in triples if z == x))) for x in sorted({z for *_, z in triples if z is not None})}
     return fit([t for t, *_ in triples], [y for _, y, _ in triples]), {x: m for x, m in by_language.items() if m[0]}
 
@@ -272,8 +311,8 @@ class Scorer:
     A text of a language with a classifier of its own has the higher of its and the common one's score.
     """
 
-    def __init__(self, grams: np.ndarray, counts: np.ndarray, weights: dict[str, float], bias: float, by_language: dict[str, tuple[dict[str, float], float]] | None = None) -> None:
-        self.model, self.weights, self.bias = CharacterModel(grams, counts), weights, bias
+    def __init__(self, counts: tuple[np.ndarray, np.ndarray, np.ndarray], weights: dict[str, float], bias: float, by_language: dict[str, tuple[dict[str, float], float]] | None = None) -> None:
+        self.model, self.weights, self.bias = CharacterModel(*counts), weights, bias
         self.by_language = by_language or {}
         self.features = set(weights).union(*(w for w, _ in self.by_language.values()))
         self.cache: dict[str, tuple[str, ...]] = {}
@@ -318,9 +357,9 @@ def _scorer(token: str, shared) -> Scorer:
 
 
 def _model(docs: DataFrame, labels: DataFrame, sample_toxic: int, sample_clean: int):
-    grams, counts = character_counts(docs)
+    counts = character_counts(docs)
     (weights, bias), by_language = fitted(docs, labels, sample_toxic, sample_clean)
-    return uuid.uuid4().hex, docs.sparkSession.sparkContext.broadcast((grams, counts, weights, bias, by_language))
+    return uuid.uuid4().hex, docs.sparkSession.sparkContext.broadcast((counts, weights, bias, by_language))
 
 
 def toxicity(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD, sample_toxic: int = SAMPLE_TOXIC, sample_clean: int = SAMPLE_CLEAN) -> DataFrame:
@@ -331,8 +370,8 @@ def toxicity(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD, s
     such a column; the higher score counts. ``terms`` are the words, or with a caret the
     leading letters of words, that the score rests on. Without toxic or clean labels nothing is toxic.
 
-    A null text has null toxicity and terms and isn't toxic; an empty one has no terms. Repeated rows and
-    null ids are kept, other columns are ignored, and an empty table gives no rows.
+    A null text has null toxicity and terms and isn't toxic; an empty one has no terms. Texts of any length are
+    scored whole; of equally likely readings the first in order counts. Repeated rows and null ids are kept, other columns are ignored, and an empty table gives no rows.
     """
     token, shared = _model(docs, labels, sample_toxic, sample_clean)
 

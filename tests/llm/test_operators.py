@@ -1,22 +1,27 @@
 """Corpus operators on small tables: odd rows in any column, and brute force where SQL has no words for them."""
 
+import contextlib
 import itertools
 import os
 import random
+import textwrap
+import time
 
 import numpy as np
 import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
+from spanforge.llm import line_templates, ngram_jaccard
 from spanforge.llm.audio_features import FRAMES, MELS, audio_features, clips, rendered_texts, tensors
 from spanforge.llm.bpe import bpe_decode, bpe_encode, with_tokens
 from spanforge.llm.html_extract import extract_html
 from spanforge.llm.language_id import identify_languages
 from spanforge.llm.license_scan import canonical, known_digests, license_scan
+from spanforge.llm.license_texts import LICENSES
 from spanforge.llm.line_templates import drop_recurring_lines, recurring_lines
 from spanforge.llm.mixing import mix, mixing_rates
-from spanforge.llm.ngram_jaccard import drop_near_copies, jaccard, ngram_jaccard_join
+from spanforge.llm.ngram_jaccard import components, drop_near_copies, jaccard, ngram_jaccard_join, ngram_jaccard_pairs
 from spanforge.llm.order_minhash import agreement, multipliers, order_minhash, signature
 from spanforge.llm.shingles import shingle_set
 from spanforge.llm.toxicity import drop_toxic, toxicity
@@ -86,55 +91,71 @@ def test_license_scan_of_long_texts(spark):
             rows.append((k, text.read()))
     rows.append((10, rows[0][1].split("   END OF TERMS")[0]))
     rows.append((11, rows[0][1].replace("perpetual", "short")))
-    got = {(r.doc_id, r.license) for r in license_scan(spark.createDataFrame(rows, "doc_id bigint, text string")).where("unit = 'document'").collect()}
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string")
+    got = {(r.doc_id, r.license) for r in license_scan(docs).where("unit = 'document'").collect()}
     assert got == {*enumerate(names.values()), (10, "Apache-2.0")}
 
 
-def brute_recurring(rows, min_docs=3, depth=3, min_tokens=4, similarity=0.6):
-    """(doc_id, line_no) of recurring lines, by walking the tree line by line."""
+def test_license_scan_of_wrapped_texts(spark):
+    rows = [(k, f"Copyright {sign} {who}\n\n" + "\n\n".join(textwrap.fill(p, width) for p in text.split("\n\n")), name) for k, (name, width, text, sign, who) in enumerate((n, w, t, s, a) for n, texts in LICENSES.items() for t in texts if len(t) >= 400 for w in range(60, 101) for s, a in [(("(c)", "2020 Me"), ("2001-2020", "Ann Author"), ("©", "The Foo Project"), ("Ann", "Author"))[w % 4]])]
+    got = {(r.doc_id, r.license) for r in license_scan(spark.createDataFrame(rows, "doc_id bigint, text string, name string")).where("unit = 'document'").collect()}
+    assert got == {(k, name) for k, _, name in rows} and len(rows) > 600
+
+
+def brute_recurring(rows, min_docs=3, depth=3, min_tokens=4, similarity=0.7):
+    """(row, line_no) of recurring lines, by walking the tree line by line. Rows are (doc_id, text)."""
     lines = []
-    for doc, text in rows:
+    for row, (doc, text) in enumerate(rows):
         for k, line in enumerate(text.split("\n")):
             tokens = ["<*>" if any(c in "0123456789" for c in t) else t for t in line.split()]
-            lines.append((doc, k, tuple(tokens)))
-    long = [x for x in lines if len(x[2]) >= min_tokens]
+            if len(tokens) >= min_tokens:
+                lines.append((row, doc, k, tuple(tokens)))
     leaves = {}
-    for doc, _, tokens in long:
-        leaves.setdefault((len(tokens), tokens[:depth]), []).append((doc, tokens))
+    for _, doc, _, tokens in lines:
+        leaves.setdefault((len(tokens), tokens[: min(depth, len(tokens) - 2)]), []).append((doc, tokens))
     template = {}
     for key, members in leaves.items():
-        if len({d for d, _ in members}) < min_docs:
-            continue
         forms = sorted({t for _, t in members}, key=lambda t: (-sum(x == t for _, x in members), " ".join(t)))
         groups = []
         for t in forms:
             best, score = None, -1
             for g, pattern in enumerate(groups):
-                s = sum(a == b and a != "<*>" for a, b in zip(pattern[depth:], t[depth:]))
+                s = sum(a == b and a != "<*>" for a, b in zip(pattern, t))
                 if s > score:
                     best, score = g, s
-            if best is not None and len(t) - depth > 1 and score >= similarity * (len(t) - depth):
+            if best is not None and score >= similarity * len(t):
                 groups[best] = tuple(a if a == b else "<*>" for a, b in zip(groups[best], t))
             else:
                 best = len(groups)
                 groups.append(t)
             template[t] = (key, best)
     docs = {}
-    for doc, _, tokens in long:
-        if tokens in template:
+    for _, doc, _, tokens in lines:
+        if doc is not None:
             docs.setdefault(template[tokens], set()).add(doc)
-    shared = {t for t, d in docs.items() if len(d) > 1}
-    total, common = {}, {}
-    for doc, _, tokens in lines:
-        total[doc] = total.get(doc, 0) + len(tokens)
-        if template.get(tokens) in shared:
-            common[doc] = common.get(doc, 0) + len(tokens)
-    copies = {d for d in total if 2 * common.get(d, 0) >= total[d] and common.get(d, 0)}
-    recurring = {t for t in shared if len(docs[t] - copies) >= min_docs}
-    return {(doc, k) for doc, k, tokens in lines if len(tokens) >= min_tokens and template.get(tokens) in recurring}
-
-
-def test_line_templates_against_brute_force(spark):
+    sets = {}
+    for doc, text in sorted(rows, key=lambda r: r[1], reverse=True):
+        sets[doc] = shingle_set(text, 3)
+    alike = {}
+
+    def copies(a, b):
+        if (a, b) not in alike:
+            alike[a, b] = alike[b, a] = jaccard(sets[a], sets[b]) >= 0.5
+        return alike[a, b]
+
+    def independent(found):
+        """Whether min_docs of the documents are no copies of each other, longest first or any three at all."""
+        left, n = sorted(found, key=lambda d: (-len(sets[d]), d)), 0
+        while left:
+            n, head = n + 1, left[0]
+            left = [d for d in left[1:] if not copies(d, head)]
+        return n >= min_docs
+
+    recurring = {t for t, found in docs.items() if len(found) >= min_docs and independent(found)}
+    return {(row, k) for row, _, k, tokens in lines if template[tokens] in recurring}
+
+
+def test_line_templates_against_brute_force(spark, monkeypatch):
     rng = random.Random(1)
     rows = []
     for d in range(40):
@@ -145,16 +166,42 @@ def test_line_templates_against_brute_force(spark):
             body.append(f"This site is shown to you by {rng.choice(['anna', 'bert', 'carl'])} with love")
         if d % 5 == 0:
             body.append("short  line")
+        if d % 6 == 0:
+            body.append(f"Posted here by {rng.choice(['anna', 'bert', 'carl', 'dora', 'emil', 'fred'])}")
         rows.append((d, "\n".join(body)))
     rows += [(100 + k, rows[1][1]) for k in range(5)]
-    got = {(r.doc_id, r.line_no) for r in recurring_lines(spark.createDataFrame(rows, "doc_id bigint, text string")).collect()}
-    expected = brute_recurring(rows)
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string")
+    got = {(r.doc_id, r.line_no) for r in recurring_lines(docs).collect()}
+    expected = {(rows[row][0], k) for row, k in brute_recurring(rows)}
     assert got == expected and len(got) > 20
     assert not any(d >= 100 or d == 1 for d, _ in got)
-    out = {r.doc_id: r for r in drop_recurring_lines(spark.createDataFrame(rows, "doc_id bigint, text string")).collect()}
-    for d, text in rows:
-        assert out[d].text == "\n".join(x for k, x in enumerate(text.split("\n")) if (d, k) not in expected)
-        assert out[d].n_dropped == sum(x == d for x, _ in expected)
+    assert sum(1 for d, text in rows for k, x in enumerate(text.split("\n")) if x.startswith("Posted") and (d, k) in got) == 7
+    wanted = {d: ("\n".join(x for k, x in enumerate(text.split("\n")) if (d, k) not in expected), sum(x == d for x, _ in expected)) for d, text in rows}
+    assert {r.doc_id: (r.text, r.n_dropped) for r in drop_recurring_lines(docs).collect()} == wanted
+    # beyond the size of a broadcast the rows are joined
+    monkeypatch.setattr(line_templates, "HASH_BYTES", 0)
+    assert {r.doc_id: (r.text, r.n_dropped) for r in drop_recurring_lines(docs).collect()} == wanted
+
+
+def test_rows_of_one_id_lose_their_own_lines(spark):
+    rng = random.Random(13)
+    prose = lambda n: " ".join("".join(rng.choice("aeioulmnrst") for _ in range(7)) for _ in range(n))
+    passage = prose(20)
+    rows = [(k, f"{prose(30)}\n{passage}\n{prose(30)}") for k in range(4)]
+    rows += [(2, other := f"{prose(9)}\n{prose(9)}\n{prose(9)}"), (None, f"{passage}\nown words of it"), (None, None)]
+    got = [(r.doc_id, r.text) for r in drop_recurring_lines(spark.createDataFrame(rows, "doc_id bigint, text string")).collect()]
+    assert sorted(got, key=str) == sorted([*((k, t.replace(f"\n{passage}", "")) for k, t in rows[:4]), (2, other), (None, "own words of it"), (None, None)], key=str)
+
+
+def test_a_full_leaf_is_counted(spark):
+    rng = random.Random(14)
+    word = lambda: "".join(rng.choice("abcdefghijklmnop") for _ in range(6))
+    rows = [(k, f"This message was sent to {word()} from the office") for k in range(50_000)]
+    rows += [(50_000 + k, f"This message was {' '.join(word() for _ in range(6))}") for k in range(500)]
+    start = time.perf_counter()
+    docs = spark.createDataFrame(pa.table({"doc_id": [d for d, _ in rows], "text": [t for _, t in rows]}))
+    got = {r.doc_id for r in recurring_lines(docs).collect()}
+    assert got == set(range(50_000)) and time.perf_counter() - start < 120
 
 
 def test_passages_of_short_documents_and_of_copied_ones_recur(spark):
@@ -218,6 +265,24 @@ def test_mixing_meets_its_constraints(spark):
         mixing_rates(docs, {"zz": 1.0})
 
 
+def test_mixing_meets_any_share(spark):
+    rng = random.Random(16)
+    rows = [(k, " ".join(["w"] * rng.randrange(1, 60)), rng.choice(["en", "de"]), "a" if k % 2 else "b") for k in range(400)]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string, lang string, source string")
+    for share in (1e-7, 1e-30):
+        with pytest.raises(ValueError, match="budget") if share < 1e-10 else contextlib.nullcontext():
+            mixing_rates(docs, {"a": share, "b": 1}).collect()
+        got = mixing_rates(docs, {"a": share, "b": 1}, budget=1e4).collect()
+        assert sum(r.n_tokens * r.rate for r in got) == pytest.approx(1e4)
+        assert sum(r.n_tokens * r.rate for r in got if r.source == "a") / 1e4 == pytest.approx(share / (1 + share), rel=1e-6)
+        assert {r.met for r in got} == {"sources, languages, length"} and all(int(r.rate) <= r.copies <= int(r.rate) + 1 for r in got)
+    # a language that only one source has can't keep its share when that source loses its own
+    alone = docs.withColumn("lang", F.when(F.col("source") == "a", "fr").otherwise("en"))
+    got = mixing_rates(alone, {"a": 0.9, "b": 0.1}).collect()
+    assert {r.met for r in got} == {"sources"}
+    assert sum(r.n_tokens * r.rate for r in got if r.source == "a") / sum(r.n_tokens * r.rate for r in got) == pytest.approx(0.9)
+
+
 def test_mixing_on_odd_rows(odd, empty):
     rows = mixing_rates(odd).collect()
     assert len(rows) == 12 and all(r.rate >= 1 and r.copies >= 1 for r in rows)
@@ -337,14 +402,12 @@ def test_jaccard_join_against_brute_force(spark):
     docs = spark.createDataFrame(rows, "doc_id bigint, text string")
     sets = {d: shingle_set(t, 3) for d, t in rows}
     true = {(a, b): j for a, b in itertools.combinations(sorted(sets), 2) if (j := jaccard(sets[a], sets[b])) >= 0.5}
-    got = {}
-    for r in ngram_jaccard_join(docs).collect():
-        for a in r.doc_ids_a:
-            for b in r.doc_ids_b:
-                if a != b:
-                    got[min(a, b), max(a, b)] = r.jaccard
-    assert len(set(got) - set(true)) == 0 and len(got) >= 0.97 * len(true)
-    assert all(got[p] == pytest.approx(true[p]) for p in got)
+    near, members = ngram_jaccard_pairs(docs)
+    assert {r.doc_id: r.rep for r in members.collect()} == {d: min(x for x in sets if np.array_equal(sets[x], sets[d])) for d in sets}
+    reps = {r.rep for r in members.collect()}
+    got = {(r.doc_id_a, r.doc_id_b): r.jaccard for r in near.collect()}
+    wanted = {p: j for p, j in true.items() if set(p) <= reps and j < 1}
+    assert got.keys() == wanted.keys() and all(got[p] == pytest.approx(wanted[p]) for p in got)
     parent = {d: d for d in sets}
 
     def root(x):
@@ -352,19 +415,55 @@ def test_jaccard_join_against_brute_force(spark):
             x = parent[x]
         return x
 
-    for a, b in got:
+    links = dict.fromkeys(sets, 0)
+    for a, b in true:
+        links[a], links[b] = links[a] + 1, links[b] + 1
         x, y = sorted((root(a), root(b)))
         parent[y] = x
+    assert {(r.doc_id, r.class_id, r.n_links) for r in ngram_jaccard_join(docs).collect()} == {(d, root(d), n) for d, n in links.items() if n}
     assert {r.doc_id for r in drop_near_copies(docs).collect()} == {d for d in sets if root(d) == d}
 
 
-def test_jaccard_join_on_odd_rows(odd, empty):
-    rows = ngram_jaccard_join(odd).collect()
-    assert [(r.doc_ids_a, r.doc_ids_b, r.jaccard) for r in rows] == [([1, 2], [1, 2], 1.0)]
+def test_jaccard_join_of_a_hot_bucket(spark, monkeypatch):
+    """Blocks of a bucket give what the whole bucket does."""
+    rng = random.Random(15)
+    base = [f"t{k}" for k in range(60)]
+    rows = []
+    for k in range(400):
+        words = list(base)
+        words[rng.randrange(60)] = f"z{k}"
+        rows.append((k, " ".join(words)))
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string")
+    whole = {tuple(r) for r in ngram_jaccard_join(docs).collect()}
+    monkeypatch.setattr(ngram_jaccard, "BLOCK", 30)
+    assert whole == {tuple(r) for r in ngram_jaccard_join(docs).collect()} == {(k, 0, 399) for k in range(400)}
+
+
+def test_jaccard_join_of_many_copies(spark):
+    text = " ".join(f"w{k}" for k in range(30))
+    ids = pa.table({"doc_id": list(range(50_000)), "text": [text] * 50_000})
+    rows = ngram_jaccard_join(spark.createDataFrame(ids)).agg(F.count("*"), F.max("class_id"), F.min("n_links"), F.max("n_links")).first()
+    assert tuple(rows) == (50_000, 0, 49_999, 49_999)
+
+
+def test_components(spark):
+    edges = [(k, k + 1) for k in range(40)] + [(100, 102), (102, 101), (7, 7), (200, 200)]
+    out = components(spark.createDataFrame(edges, "x bigint, y bigint"))
+    assert {(r.node, r.label) for r in out.collect()} == {*((k, 0) for k in range(41)), *((k, 100) for k in (100, 101, 102))}
+
+
+def test_jaccard_join_on_odd_rows(spark, odd, empty):
+    assert sorted(tuple(r) for r in ngram_jaccard_join(odd).collect()) == [(1, 1, 1), (2, 1, 1)]
     kept = drop_near_copies(odd)
     assert kept.columns == odd.columns
     assert sorted(str(r.doc_id) for r in kept.collect()) == sorted(["1", "3", "4", "5", "None", "None", "6", "7", "8", "9"])
     assert ngram_jaccard_join(empty).count() == 0 and drop_near_copies(empty).count() == 0
+    # texts that share an id are documents of their own
+    one, two = "one two three four five six", "seven eight nine ten eleven twelve"
+    rows = [(1, one), (1, two), (1, two), (2, "!"), (2, "!"), (3, two + " ."), (4, one + " and")]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string")
+    assert sorted((r.doc_id, r.text) for r in drop_near_copies(docs).collect()) == [(1, one), (1, two), (2, "!"), (2, "!")]
+    assert sorted(tuple(r) for r in ngram_jaccard_join(docs).collect()) == [(1, 1, 1), (1, 1, 1), (3, 1, 1), (4, 1, 1)]
 
 
 def test_bpe_round_trip(odd, empty):
