@@ -15,12 +15,27 @@ from pyspark.sql import types as T
 
 from spanforge.sources.storage import discard, written
 
-__all__ = ["checked_broadcast", "discard", "grouped", "map_batches", "measured_bytes", "table", "take_memory", "vocabulary_file", "written"]
+__all__ = ["Scratch", "checked_broadcast", "discard", "grouped", "map_batches", "measured_bytes", "table", "take_memory", "vocabulary_file", "written"]
 
 #: Bytes, as measured, up to which one side of a join may be broadcast; beyond it the join shuffles.
 BROADCAST_BYTES = 16 << 20
 
 
+class Scratch:
+    """Written tables of one operator, deleted together once what is made of them is written itself."""
+
+    def __init__(self) -> None:
+        self.frames: list[DataFrame] = []
+
+    def written(self, df: DataFrame, tag: str) -> DataFrame:
+        self.frames.append(written(df, tag))
+        return self.frames[-1]
+
+    def discard(self) -> None:
+        discard(*self.frames)
+        self.frames.clear()
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
