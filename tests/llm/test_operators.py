@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 from spanforge.llm import line_templates, ngram_jaccard
 from spanforge.llm.audio_features import FRAMES, MELS, audio_features, clips, rendered_texts, tensors
 from spanforge.llm.bpe import bpe_decode, bpe_encode, with_tokens
+from spanforge.llm.common import written
 from spanforge.llm.html_extract import extract_html
 from spanforge.llm.language_id import identify_languages
 from spanforge.llm.license_scan import canonical, known_digests, license_scan
@@ -439,6 +440,47 @@ def test_jaccard_join_of_a_hot_bucket(spark, monkeypatch):
     assert whole == {tuple(r) for r in ngram_jaccard_join(docs).collect()} == {(k, 0, 399) for k in range(400)}
 
 
+def test_near_copies_of_a_large_group_take_few_pairs(spark, monkeypatch):
+    """Groups are those of all pairs, but a group of 600 versions, which have 179,700 pairs, takes few of them."""
+    rng = random.Random(16)
+    rows = []
+    for k in range(600):
+        words = [f"t{j}" for j in range(60)]
+        for _ in range(1 + k % 3):
+            words[rng.randrange(60)] = f"z{rng.randrange(9999)}"
+        rows.append((k, " ".join(words)))
+    # chains, of which no version is similar to all others, and versions that are just too far from the group
+    rows += [(1000 + k, " ".join(f"c{j}" for j in range(4 * k, 4 * k + 40))) for k in range(40)]
+    rows += [(2000 + k, " ".join(f"t{j}" if j % 9 else f"y{k}_{j}" for j in range(60))) for k in range(30)]
+    rows += [(5000 + d, t) for d, t in near_rows(rng)]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string")
+    sets = {d: shingle_set(t, 3) for d, t in rows}
+    parent = {d: d for d in sets}
+
+    def root(x):
+        while parent[x] != x:
+            x = parent[x]
+        return x
+
+    for a, b in itertools.combinations(sorted(sets), 2):
+        if jaccard(sets[a], sets[b]) >= 0.5:
+            x, y = sorted((root(a), root(b)))
+            parent[y] = x
+    pairs = []
+
+    def counting(df, tag):
+        out = written(df, tag)
+        if tag == "candidates":
+            pairs.append(out.count())
+        return out
+
+    monkeypatch.setattr(ngram_jaccard, "written", counting)
+    monkeypatch.setattr(ngram_jaccard, "BLOCK", 100)
+    monkeypatch.setattr(ngram_jaccard, "SIDE", 20)
+    assert {r.doc_id for r in drop_near_copies(docs).collect()} == {d for d in sets if root(d) == d}
+    assert sum(pairs) < 40_000
+
+
 def test_jaccard_join_of_many_copies(spark):
     text = " ".join(f"w{k}" for k in range(30))
     ids = pa.table({"doc_id": list(range(50_000)), "text": [text] * 50_000})
