@@ -31,10 +31,8 @@ MIN_TOKENS = 4
 MIN_DOCS = 3
 #: Share of its tokens in which a line agrees with its template.
 SIMILARITY = 0.7
-#: Forms of a leaf that are walked one by one; the fields of a fuller leaf are found by counting its tokens.
-LEAF = 4000
-#: Share of the forms of a full leaf that a token has at its place if it is no field.
-CONSTANT = 0.01
+#: Forms of a leaf from which its templates are looked up by their tokens, with the same result, instead of all looked at.
+INDEXED = 200
 #: Bytes of the hashes of recurring lines up to which they are broadcast.
 HASH_BYTES = 32 << 20
 FIELD = "<*>"
@@ -85,35 +83,66 @@ class Leaf:
         return self.n - 1
 
 
+def walked(lines: np.ndarray, similarity: float) -> np.ndarray:
+    """Numbers of the templates that ``Leaf.add`` gives line after line, without looking at every template.
+
+    A line agrees with its template in ``need`` places, so of any n - need + 1 of its places one agrees at least:
+    only the templates that started with its token at those places, where fewest did, can be its own.
+    """
+    m, n = lines.shape
+    chosen = np.empty(m, np.int64)
+    need = next((k for k in range(n + 1) if k >= similarity * n), n + 1)
+    if not need:
+        leaf = Leaf(similarity)
+        return np.array([leaf.add(line) for line in lines], np.int64)
+    # a number for each token at each place, behind which there is room for the templates that start with it
+    slots, counts = np.empty((m, n), np.int32), []
+    for place in range(n):
+        _, inverse, c = np.unique(lines[:, place], return_inverse=True, return_counts=True)
+        slots[:, place] = inverse + sum(map(len, counts))
+        counts.append(c)
+    sizes = np.concatenate(counts)
+    start, held = np.cumsum(sizes) - sizes, np.zeros(len(sizes), np.int64)
+    where = np.empty(m * n, np.int32)
+    rows, size, probes = np.zeros((m, n), lines.dtype), 0, n - need + 1
+    for k in range(m):
+        line, mine = lines[k], slots[k]
+        at = mine if probes >= n else mine[np.argpartition(held[mine], max(probes - 1, 0))[:probes]]
+        lists = [where[start[s] : start[s] + held[s]] for s in at.tolist() if held[s]]
+        if lists:
+            some = np.concatenate(lists)
+            theirs = rows[some]
+            agree = ((theirs == line) & (theirs != 0)).sum(axis=1)
+            if (most := agree.max()) >= need:
+                best = some[agree == most].min()
+                rows[best][rows[best] != line] = 0
+                chosen[k] = best
+                continue
+        rows[size] = line
+        # fields agree with nothing
+        real = mine[line != 0]
+        where[start[real] + held[real]] = size
+        held[real] += 1
+        chosen[k] = size
+        size += 1
+    return chosen
+
+
 def _generalise(similarity: float):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for t in grouped(batches, "leaf"):
             keys = t.column("masked").to_numpy()
             numbers = {FIELD: 0}
+            lines = (numbers.setdefault(x, len(numbers)) for chunk in t.column("line").chunks for line in chunk.to_pylist() for x in line.split(" "))
+            table = np.fromiter(lines, np.int32).reshape(len(keys), -1)
             leaf = Leaf(similarity)
-            chosen = [leaf.add(np.array([numbers.setdefault(x, len(numbers)) for x in line.split(" ")])) for line in t.column("line").to_pylist()]
+            chosen = walked(table, similarity) if len(keys) > INDEXED else [leaf.add(line) for line in table]
             _, first = np.unique(chosen, return_index=True)
             yield pa.RecordBatch.from_arrays([pa.array(keys), pa.array(keys[first[chosen]])], ["masked", "template"])
 
     return run
 
 
-def _counted(scratch: Scratch, forms: DataFrame, similarity: float) -> DataFrame:
-    """(masked, template) of the forms (leaf, masked, line) of full leaves, without bringing a leaf together.
-
-    A token that few forms of its leaf have at its place is in a field. Forms that then are equal, and whose
-    other tokens are the share ``similarity`` or more, have one template; any other form is one of its own.
-    """
-    size = forms.groupBy("leaf").agg(F.count(F.lit(1)).alias("m"))
-    each = forms.select("leaf", "masked", F.posexplode(F.split("line", " ")).alias("at", "token"))
-    constant = each.groupBy("leaf", "at", "token").agg(F.count(F.lit(1)).alias("c")).join(size, "leaf").where((F.col("c") >= CONSTANT * F.col("m")) & (F.col("token") != FIELD))
-    fields = scratch.written(each.join(checked_broadcast(scratch.written(constant.select("leaf", "at", "token", F.lit(True).alias("kept")), "constant")), ["leaf", "at", "token"], "left").groupBy("leaf", "masked").agg(
-        F.bit_xor(F.xxhash64("at", F.when(F.col("kept"), F.col("token")).otherwise(FIELD))).alias("pattern"), F.count("kept").alias("constants"), F.count(F.lit(1)).alias("n")
-    ), "fields")
-    alike = fields.where(F.col("constants") >= similarity * F.col("n"))
-    return alike.join(alike.groupBy("leaf", "pattern").agg(F.min("masked").alias("template")), ["leaf", "pattern"]).select("masked", "template")
-
-
 def _lines(docs: DataFrame, depth: int, min_tokens: int, whole: bool = False, once: bool = False) -> DataFrame:
     """Lines of ``min_tokens`` or more, with the hash of their leaf and that of their masked form, and maybe that form.
     With ``once`` only the first of a row's lines of one masked form."""
@@ -215,10 +244,10 @@ def _recurring(docs: DataFrame, min_docs: int, depth: int, min_tokens: int, simi
     forms = scratch.written(each.groupBy("leaf", "masked").agg(F.count("doc_id").alias("d")), "forms")
     leaves = forms.groupBy("leaf").agg(F.sum("d").alias("d"), F.count(F.lit(1)).alias("m"))
     # leaves of one form need no walk, and those that too few documents reach hold no recurring template
-    forked = scratch.written(leaves.where((F.col("m") > 1) & (F.col("d") >= min_docs)).select("leaf", "m"), "forked")
-    formed = scratch.written(_lines(docs, depth, min_tokens, True).select("leaf", "masked", "line").join(checked_broadcast(forked), "leaf").groupBy("leaf", "masked", "line").agg(F.count(F.lit(1)).alias("c"), F.first("m").alias("m")), "formed")
-    some = formed.where(F.col("m") <= LEAF).repartition("leaf").sortWithinPartitions("leaf", F.desc("c"), "line").mapInArrow(_generalise(similarity), "masked bigint, template bigint")
-    mapped = scratch.written(some.union(_counted(scratch, formed.where(F.col("m") > LEAF).select("leaf", "masked", "line"), similarity)), "templates")
+    forked = scratch.written(leaves.where((F.col("m") > 1) & (F.col("d") >= min_docs)).select("leaf"), "forked")
+    formed = scratch.written(_lines(docs, depth, min_tokens, True).select("leaf", "masked", "line").join(checked_broadcast(forked), "leaf").groupBy("leaf", "masked", "line").agg(F.count(F.lit(1)).alias("c")), "formed")
+    walk = formed.repartition("leaf").sortWithinPartitions("leaf", F.desc("c"), "line").mapInArrow(_generalise(similarity), "masked bigint, template bigint")
+    mapped = scratch.written(walk, "templates")
     named = forms.join(checked_broadcast(mapped), "masked", "left").select("masked", "d", F.coalesce("template", "masked").alias("template"))
     # most lines of prose are seen once: what can't recur goes before documents are counted
     few = named.groupBy("template").agg(F.sum("d").alias("all")).where(F.col("all") >= min_docs).select("template")

@@ -373,6 +373,20 @@ def test_leaf_generalises_fields():
     assert leaf.add(np.array([1, 2, 3, 9, 10, 11, 12])) != a
 
 
+def test_walk_by_rarest_tokens_is_the_walk():
+    rng = np.random.default_rng(5)
+    for n in (4, 5, 7, 10, 20):
+        for words in (3, 12, 200):
+            for similarity in (0.0, 0.4, 0.7, 1.0):
+                lines = np.minimum(rng.geometric(3 / (words + 3), (600, n)), words)
+                lines[:, : min(3, n - 2)] = rng.integers(0, 2, min(3, n - 2))
+                lines[rng.random((600, n)) < 0.03] = 0
+                lines = np.unique(lines, axis=0)
+                rng.shuffle(lines)
+                leaf = lt.Leaf(similarity)
+                assert lt.walked(lines.astype(np.int32), similarity).tolist() == [leaf.add(x) for x in lines], (n, words, similarity)
+
+
 def test_canonical_licences():
     assert canonical("Copyright (c) 2020 Me\nReleased   under THE mit Licence!!\n") == "released under the mit license"
     assert canonical("© 2020 X") == "" and "MIT" in known_digests().values()

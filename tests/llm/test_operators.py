@@ -205,6 +205,17 @@ def test_a_full_leaf_is_counted(spark):
     assert got == set(range(50_000)) and time.perf_counter() - start < 120
 
 
+def test_templates_do_not_depend_on_how_full_a_leaf_is(spark):
+    """Counting the tokens of leaves of more than 4,000 forms took the rare tokens of a template for fields."""
+    rng = random.Random(17)
+    word = lambda: "".join(rng.choice("abcdefghijklmnop") for _ in range(6))
+    rows = [(k, f"here it was {' '.join(['alpha', 'beta', 'gamma', 'delta', 'epsilon'])} {word()}\n{' '.join(word() for _ in range(30))}") for k in range(4)]
+    for others in (50, 4200):
+        more = [(10 + k, f"here it was {' '.join(word() for _ in range(6))}") for k in range(others)]
+        docs = spark.createDataFrame(rows + more, "doc_id bigint, text string")
+        assert {(r.doc_id, r.line_no) for r in recurring_lines(docs).collect()} == {(k, 0) for k in range(4)}, others
+
+
 def test_passages_of_short_documents_and_of_copied_ones_recur(spark):
     rng = random.Random(11)
     prose = lambda n: " ".join("".join(rng.choice("aeioulmnrst") for _ in range(7)) for _ in range(n))
