@@ -135,3 +135,15 @@ def test_stages_on_empty_and_odd_tables(spark, folder):
         else:
             assert plain(got.select(docs.columns).collect()) == plain(expected), name
     assert corpus_pipeline.ORACLE_SQL is None and [n for n, _ in corpus_pipeline.STAGES] == ["toxicity", "line_dedup", "near_copies", "source_mixing", "bpe_tokens"]
+
+
+def test_line_dedup_of_a_full_leaf(spark, folder):
+    """Templates are those of the walk also where a leaf has more than 4,000 forms."""
+    rng = random.Random(18)
+    word = lambda: "".join(rng.choice("abcdefghijklmnop") for _ in range(6))
+    prose = [" ".join(word() for _ in range(30)) for _ in range(4)]
+    rows = [(k, f"here it was alpha beta gamma delta epsilon {word()}\n{prose[k]}") for k in range(4)]
+    rows += [(10 + k, f"here it was {' '.join(word() for _ in range(6))}") for k in range(4200)]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string")
+    got = {r.doc_id: r.text for r in corpus_pipeline.line_dedup(spark, docs, folder).collect()}
+    assert got == dict(rows) | dict(enumerate(prose))
