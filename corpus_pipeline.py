@@ -42,8 +42,8 @@ def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of similar ones: that of the smallest doc_id, of its texts that of smallest hash.
 
     Null and empty texts, those without words, and rows without an id are similar to nothing and stay. Rows that
-    repeat an id and its text are one document; different texts of one id are documents of their own. Texts of any
-    length are compared whole. All columns are kept, whatever their names; an empty table stays empty.
+    repeat an id and its text are one document, of which the row of the first other values stays; different texts of
+    one id are documents of their own. Texts of any length are compared whole. All columns are kept, whatever their names; an empty table stays empty.
     """
     return drop_near_copies(docs)
 

@@ -143,9 +143,9 @@ def _generalise(similarity: float):
     return run
 
 
-def _lines(docs: DataFrame, depth: int, min_tokens: int, whole: bool = False, once: bool = False) -> DataFrame:
+def _lines(docs: DataFrame, depth: int, min_tokens: int, whole: bool = False, once: bool = False, key: str = "bigint") -> DataFrame:
     """Lines of ``min_tokens`` or more, with the hash of their leaf and that of their masked form, and maybe that form.
-    With ``once`` only the first of a row's lines of one masked form."""
+    With ``once`` only the first of a row's lines of one masked form. ``key`` is the type of doc_id."""
 
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
         rows, numbers, leaves, hashes, forms = [], [], [], [], []
@@ -168,7 +168,7 @@ def _lines(docs: DataFrame, depth: int, min_tokens: int, whole: bool = False, on
         return pa.RecordBatch.from_arrays([*columns, *([pa.array(forms, pa.string())] if whole else [])], ["doc_id", "line_no", "leaf", "masked", *(["line"] if whole else [])])
 
     texts = docs.where("text is not null").select("doc_id", "text")
-    return map_batches(texts, run, "doc_id bigint, line_no int, leaf bigint, masked bigint" + (", line string" if whole else ""))
+    return map_batches(texts, run, f"doc_id {key}, line_no int, leaf bigint, masked bigint" + (", line string" if whole else ""))
 
 
 def _shingles(batch: pa.RecordBatch) -> pa.RecordBatch:
@@ -287,10 +287,11 @@ def drop_recurring_lines(docs: DataFrame, min_docs: int = MIN_DOCS, depth: int =
     if measured_bytes(found) <= HASH_BYTES:
         gone = docs.sparkSession.sparkContext.broadcast(np.unique(found.toArrow().column("masked").to_numpy()))
         return map_batches(out, _without(gone, min_tokens), T.StructType([*out.schema.fields, T.StructField("n_dropped", T.IntegerType())]))
-    # too many to hold: the places of recurring lines are joined to the rows by their texts
-    key = lambda text: F.xxhash64(text)
+    # too many to hold: the places of recurring lines are joined to the rows by their texts, of which no two may share a
+    # key, or one would lose the lines of the other only in a large input
+    key = lambda text: F.unhex(F.sha2(text, 256))
     texts = docs.where("text is not null").select(key(F.col("text")).alias("doc_id"), "text").groupBy("doc_id").agg(F.first("text").alias("text"))
-    places = _lines(texts, depth, min_tokens).join(found, "masked", "left_semi").groupBy(F.col("doc_id").alias("key")).agg(F.collect_set("line_no").alias("gone"))
+    places = _lines(texts, depth, min_tokens, key="binary").join(found, "masked", "left_semi").groupBy(F.col("doc_id").alias("key")).agg(F.collect_set("line_no").alias("gone"))
     places = written(places, "places")
     joined = out.select(F.struct(*out.columns).alias("row")).join(places, key(F.col("row.text")) == places["key"], "left")
     left = F.array_join(F.filter(F.split("row.text", "\n"), lambda x, k: ~F.array_contains("gone", k)), "\n")

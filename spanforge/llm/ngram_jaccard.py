@@ -440,13 +440,21 @@ def ngram_jaccard_sql() -> str:
     """
 
 
+def _ordered(docs: DataFrame) -> Column:
+    """The values of a row as one that has an order. Maps have none: a column with one anywhere counts as JSON."""
+    exact = {"timestampFormat": "yyyy-MM-dd'T'HH:mm:ss.SSSSSSXXX", "timestampNTZFormat": "yyyy-MM-dd'T'HH:mm:ss.SSSSSS", "ignoreNullFields": "false"}
+    unordered = lambda kind: "map<" in kind or "variant" in kind
+    return F.struct(*(F.to_json(F.struct(f.name), exact) if unordered(f.dataType.simpleString()) else F.col(f.name) for f in docs.schema.fields))
+
+
 def drop_near_copies(docs: DataFrame, n: int = N, threshold: float = THRESHOLD, size: int = SIZE, rows: int = ROWS, step: int = STEP, tolerance: float = TOLERANCE) -> DataFrame:
     """The documents, with all their columns, less those that are similar to an earlier one of their group.
 
     Groups are the connected components of the join; the document of smallest doc_id, of its texts that of
     smallest hash, stays. Documents that match nothing, null and empty ones and those without words stay as they
-    are, repeated or not. Other rows that repeat a doc_id and its text are one document: one of them stays. Texts
-    that share a doc_id without being similar are documents of their own. An empty table stays empty.
+    are, repeated or not. Other rows that repeat a doc_id and its text are one document: that whose other values, column
+    by column, come first stays. Texts that share a doc_id without being similar are documents of their own. An empty
+    table stays empty.
     """
     c = _Classes(docs, n, size)
     labels = _components_of_copies(c, n, threshold, size, rows, step, tolerance)
@@ -465,6 +473,7 @@ def drop_near_copies(docs: DataFrame, n: int = N, threshold: float = THRESHOLD,
         return stay.select(docs.columns)
     again = checked_broadcast(again)
     same = (stay["doc_id"] == again["r_id"]) & (text_key(stay["text"]) == again["r_text"]) & stay["text"].rlike(r"(?U)\w")
-    rows_ = stay.join(again, same, "left_semi").select(F.struct(*docs.columns).alias("row"))
-    once = rows_.groupBy("row.doc_id", "row.text").agg(F.first("row").alias("row")).select("row.*")
+    rows_ = stay.join(again, same, "left_semi").select(F.struct(*docs.columns).alias("row"), _ordered(docs).alias("values"))
+    # the first row that a task meets would depend on the table's files and on how it was joined
+    once = rows_.groupBy("row.doc_id", "row.text").agg(F.min_by("row", "values").alias("row")).select("row.*")
     return stay.join(again, same, "left_anti").select(docs.columns).unionByName(once)

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from test_operators import brute_recurring
 
 import corpus_pipeline
+from spanforge.llm import line_templates
 from spanforge.llm.bpe import PATTERN, load
 from spanforge.llm.common import vocabulary_file
 from spanforge.llm.ngram_jaccard import jaccard
@@ -147,3 +148,47 @@ def test_line_dedup_of_a_full_leaf(spark, folder):
     docs = spark.createDataFrame(rows, "doc_id bigint, text string")
     got = {r.doc_id: r.text for r in corpus_pipeline.line_dedup(spark, docs, folder).collect()}
     assert got == dict(rows) | dict(enumerate(prose))
+
+
+def same_xxhash64(rng):
+    """Two lines of 64 printable bytes and equal xxhash64 as Spark has it: what the first eight bytes change in their lane, bytes 32 to 39 take back."""
+    one, two, full = 0x9E3779B185EBCA87, 0xC2B2AE3D27D4EB4F, (1 << 64) - 1
+    word = lambda n: "".join(rng.choice("aeioulmnrst") for _ in range(n))
+
+    def lane(x):
+        v = (42 + one + two + int.from_bytes(x.encode(), "little") * two) & full
+        return ((v << 31 | v >> 33) & full) * one & full
+
+    for _ in range(1_000_000):
+        # lines are hashed with digits masked, and so told apart
+        a, b, y = word(8), word(7) + "1", word(8)
+        other = ((int.from_bytes(y.encode(), "little") + (lane(a) - lane(b)) * pow(two, -1, 1 << 64)) & full).to_bytes(8, "little")
+        if all(32 < c < 127 for c in other):
+            middle, end = f" {word(7)} {word(6)} {word(7)} ", f" {word(11)} {word(11)}"
+            return f"{a}{middle}{y}{end}", f"{b}{middle}{other.decode()}{end}"
+    raise AssertionError("none found")
+
+
+def test_line_dedup_is_the_same_on_both_sides_of_its_switches(spark, folder, monkeypatch):
+    """Joined by a hash of their texts, two rows had the places of one of them, but only beyond HASH_BYTES."""
+    rng = random.Random(20)
+    prose = [" ".join("".join(rng.choice("aeioulmnrst") for _ in range(7)) for _ in range(30)) for _ in range(4)]
+    line, other = same_xxhash64(rng)
+    rows = [(k, f"{line}\n{x}") for k, x in enumerate(prose)] + [(9, f"{other}\n{prose[0]}")]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string")
+    assert docs.where("doc_id in (0, 9)").select(F.xxhash64("text")).distinct().count() == 1
+    for name, value in (("HASH_BYTES", 32 << 20), ("HASH_BYTES", 0), ("INDEXED", 0), ("INDEXED", 1 << 40)):
+        with monkeypatch.context() as m:
+            m.setattr(line_templates, name, value)
+            assert {r.doc_id: r.text for r in corpus_pipeline.line_dedup(spark, docs, folder).collect()} == dict(enumerate(prose)) | dict(rows[-1:]), (name, value)
+
+
+def test_near_copies_keep_the_same_row_however_the_table_lies(spark, folder):
+    rng = random.Random(19)
+    texts = [" ".join("".join(rng.choice("aeioulmnrst") for _ in range(7)) for _ in range(20)) for _ in range(30)]
+    rows = [(k, t, lang, source, {"m": n}) for k, t in enumerate(texts) for lang in ("fr", "en", None) for source in "cab" for n in (2, 1)]
+    rng.shuffle(rows)
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string, lang string, source string, more map<string,int>")
+    for parts in (1, 5):
+        got = corpus_pipeline.near_copies(spark, docs.repartition(parts), folder).collect()
+        assert sorted(map(tuple, got)) == [(k, t, None, "a", {"m": 1}) for k, t in enumerate(texts)], parts
