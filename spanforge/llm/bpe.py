@@ -9,7 +9,7 @@ from __future__ import annotations
 
 import base64
 import re
-from functools import lru_cache
+from functools import cached_property, lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -22,7 +22,8 @@ from spanforge.llm.common import map_batches, take_memory, vocabulary_file
 VOCABULARY = "byte_bpe_50k.tiktoken"
 PATTERN = r"'(?:[sdmt]|ll|ve|re)| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 _CHUNK = re.compile(r"\s*\S+|\s+")
-_CACHE = 150_000
+#: Remembered chunks at which a generation of them is full; cells of the matrices, and characters of the texts, that are encoded at once.
+_CACHE, _CELLS, _CHARACTERS = 60_000, 1 << 17, 1 << 18
 _INF = np.int64(1) << np.int64(60)
 _NONE = (1 << 21) - 1
 
@@ -58,23 +59,23 @@ class Bpe:
             self.ranks = {base64.b64decode(a): int(b) for a, b in (x.split() for x in lines if x.strip())}
         self.tokens = {k: x for x, k in self.ranks.items()}
         self.byte_ids = np.array([self.ranks[bytes([b])] for b in range(256)], np.int64)
-        self.pairs: dict[tuple[int, int], int] = {}
+        keys, values = [], []
         for x, rank in self.ranks.items():
             for cut in range(1, len(x)):
                 a, b = self.ranks.get(x[:cut]), self.ranks.get(x[cut:])
                 if a is not None and b is not None:
-                    self.pairs[a, b] = rank
-        self._table()
+                    keys.append((a << 21) | b)
+                    values.append(rank)
+        self._table(np.array(keys, np.int64), np.array(values, np.int64))
         self.pattern = regex.compile(PATTERN)
         self.cache: dict[str, bytes] = {}
+        self.older: dict[str, bytes] = {}
 
-    def _table(self) -> None:
+    def _table(self, keys: np.ndarray, values: np.ndarray) -> None:
         """Open addressing over pair keys, for lookups of whole arrays."""
-        bits = (4 * len(self.pairs)).bit_length()
+        bits = (4 * len(keys)).bit_length()
         self.shift, self.mask = np.uint64(64 - bits), (1 << bits) - 1
         self.keys, self.values = np.full(1 << bits, -1, np.int64), np.full(1 << bits, _INF, np.int64)
-        keys = np.array([(a << 21) | b for a, b in self.pairs], np.int64)
-        values = np.array(list(self.pairs.values()), np.int64)
         at = self._slot(keys)
         while len(keys):
             free = self.keys[at] == -1
@@ -85,6 +86,13 @@ class Bpe:
             left[put] = False
             keys, values, at = keys[left], values[left], (at[left] + 1) & self.mask
 
+    @cached_property
+    def pairs(self) -> dict[tuple[int, int], int]:
+        """Ranks of pairs, for words longer than the matrices; made when the first such word comes."""
+        at = self.keys != -1
+        keys = self.keys[at]
+        return dict(zip(zip((keys >> 21).tolist(), (keys & _NONE).tolist()), self.values[at].tolist()))
+
     def _slot(self, keys: np.ndarray) -> np.ndarray:
         return ((keys.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> self.shift).astype(np.int64)
 
@@ -180,8 +188,9 @@ class Bpe:
         lower = 0
         for width in self.widths:
             at = [k for k, w in enumerate(words) if lower < len(w) <= width]
-            for start in range(0, len(at), 8192):
-                part = at[start : start + 8192]
+            step = _CELLS // width
+            for start in range(0, len(at), step):
+                part = at[start : start + step]
                 for k, ids in zip(part, self._encode_rows([words[k] for k in part], width)):
                     out[k] = ids
             lower = width
@@ -191,16 +200,36 @@ class Bpe:
         return out
 
     def encode_batch(self, texts: list[str]) -> list[bytes]:
-        """Ids of every text as int32 bytes.
+        """Ids of every text as int32 bytes; texts are encoded together up to a number of characters, a longer one alone."""
+        out: list[bytes] = []
+        group: list[str] = []
+        held = 0
+        for text in texts:
+            if group and held + len(text) > _CHARACTERS:
+                out += self._encode_group(group)
+                group, held = [], 0
+            group.append(text)
+            held += len(text)
+        return out + self._encode_group(group)
+
+    def _encode_group(self, texts: list[str]) -> list[bytes]:
+        """Ids of every text.
 
         Blanks after a non-blank always start a token, so a text can be cut there, and what follows up to the
-        next such place is encoded once and remembered.
+        next such place is encoded once and remembered. A full generation becomes the older one, from which what
+        is met again moves to the new one; so frequent chunks stay and few of the others are held.
         """
         chunks = [_CHUNK.findall(t) for t in texts]
         if len(self.cache) > _CACHE:
-            self.cache.clear()
-        cache = self.cache
-        missing = [c for c in set().union(*chunks) if c not in cache]
+            self.older, self.cache = self.cache, {}
+        cache, older = self.cache, self.older
+        missing = []
+        for c in set().union(*chunks):
+            if c not in cache:
+                if (ids := older.get(c)) is None:
+                    missing.append(c)
+                else:
+                    cache[c] = ids
         parts = [[x.encode("utf-8", "replace") for x in self.pattern.findall(c)] for c in missing]
         words = list(set().union(*parts))
         known = dict(zip(words, self.encode_words(words)))

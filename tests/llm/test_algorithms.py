@@ -122,6 +122,18 @@ def test_bpe_equals_the_library():
     assert [np.frombuffer(x, "<i4").tolist() for x in bpe.encode_words(drawn)] == [bpe.encode_word(w) for w in drawn] == [library._encode_single_piece(w) if w else [] for w in drawn]
 
 
+def test_bpe_remembers_a_bounded_number_of_chunks_within_one_call():
+    bpe, library = encoding()
+    texts = [" ".join(f"{k:x}q{j:x}" for j in range(3000)) for k in range(100)] + ["w" * 300_000 + " z", ""]
+    out = bpe.encode_batch(texts)
+    assert len(bpe.cache) + len(getattr(bpe, "older", ())) < 200_000
+    assert len(out) == len(texts)
+    for k in (0, 1, 50, 99, 101):
+        assert np.frombuffer(out[k], "<i4").tolist() == library.encode_ordinary(texts[k])
+    assert bpe.decode(np.frombuffer(out[100], "<i4").tolist()) == texts[100]
+    assert bpe.encode_batch(texts[:3]) == out[:3] and bpe.encode_batch([]) == []
+
+
 def test_forward_sums_all_segmentations():
     p = pieces(vocabulary_file("piece_bpe_32k.model"))
     rng = np.random.default_rng(6)
