@@ -61,8 +61,8 @@ PROCESSORS = {
     for p in (
         TermProcessor("none", lambda term: term, lambda term: term),
         TermProcessor("lower", F.lower, str.lower),
-        # lower-case without combining marks
-        TermProcessor("accents", lambda term: F.translate(F.regexp_replace(F.lower(term), r"\p{Mn}+", ""), _FROM, _TO), strip_accents),
+        # lower-case without combining marks; a term of one byte a character has none
+        TermProcessor("accents", lambda term: F.when(F.octet_length(term) == F.length(term), F.lower(term)).otherwise(F.translate(F.regexp_replace(F.lower(term), r"\p{Mn}+", ""), _FROM, _TO)), strip_accents),
         TermProcessor("drop_empty", lambda term: F.when(term != "", term), lambda term: term),
     )
 }

@@ -14,7 +14,7 @@ from spanforge.operators.scoring import Scorer, ranked, scored
 from spanforge.plans.ast import Node
 from spanforge.plans.compile import Compiler
 from spanforge.plans.parser import parse
-from spanforge.sources.index import SpanIndex
+from spanforge.sources.index import SpanIndex, unpacked
 
 #: Tags of original markup that rendering keeps.
 TAGS = ("b", "i", "u", "s", "em", "strong", "sub", "sup", "p", "h1", "h2", "h3", "ul", "ol", "li")
@@ -56,16 +56,27 @@ class Search:
         """(rank, doc_id, score, start, length): hits of the documents of a page only."""
         return self.page(first, count).join(self.hits(), "doc_id", "left").select("rank", "doc_id", "score", "start", "length")
 
+    def _bodies(self) -> DataFrame:
+        """(doc_id, text), or tokens and non-tokens where there is no text: what a join shuffles of a document."""
+        docs = self.index.documents
+        return docs.select("doc_id", *(["text"] if "text" in docs.columns else ["tokens", "non_tokens"]))
+
     def hit_texts(self, context: int = 0, hits: DataFrame | None = None) -> DataFrame:
         """(doc_id, start, length, left_context, hit_text, right_context), with ``context`` tokens to either side."""
-        docs = self.index.documents.select("doc_id", "tokens", "non_tokens", "n_tokens")
-        start, length = F.col("start"), F.col("length")
-        before = F.greatest(start - context, F.lit(0))
-        rows = (hits if hits is not None else self.hits()).join(docs, "doc_id")
-        empty = lambda c: F.coalesce(c, F.lit(""))
-        left = empty(text_window(before, start - before)) if context else F.lit("")
-        right = empty(text_window(start + length, F.lit(context))) if context else F.lit("")
-        return rows.select("doc_id", "start", "length", left.alias("left_context"), text_window(start, length).alias("hit_text"), right.alias("right_context"))
+        marks = (hits if hits is not None else self.hits()).groupBy("doc_id").agg(F.collect_list(F.struct("start", "length")).alias("hits"))
+        docs = unpacked(self._bodies().join(marks, "doc_id"))
+        # a generator is never merged with what reads it, so a text is split once, not once a hit
+        docs = docs.select("doc_id", "hits", F.inline(F.array(F.struct("tokens", "non_tokens")))).withColumn("n_tokens", F.size("tokens"))
+
+        def texts(hit: Column) -> Column:
+            start, length = hit["start"], hit["length"]
+            before = F.greatest(start - context, F.lit(0))
+            empty = lambda c: F.coalesce(c, F.lit(""))
+            left = empty(text_window(before, start - before)) if context else F.lit("")
+            right = empty(text_window(start + length, F.lit(context))) if context else F.lit("")
+            return F.struct(start.alias("start"), length.alias("length"), left.alias("left_context"), text_window(start, length).alias("hit_text"), right.alias("right_context"))
+
+        return docs.select("doc_id", F.inline(F.transform("hits", texts)))
 
     def document_at(self, rank: int) -> DataFrame:
         """(rank, doc_id, score) of one rank; no row beyond the last."""
@@ -94,7 +105,7 @@ class Search:
             known = tags.where(F.col("tag").isin(list(TAGS))).join(self.compiler.documents(self.node), "doc_id", "left_semi")
             spans = spans.unionByName(known.select("doc_id", "start", "length", "tag"))
         marks = spans.distinct().groupBy("doc_id").agg(F.collect_list(F.struct("start", "length", "tag")).alias("spans"))
-        rows = self.index.documents.select("doc_id", "tokens", "non_tokens").join(marks, "doc_id")
+        rows = unpacked(self._bodies().join(marks, "doc_id")).select("doc_id", "tokens", "non_tokens", "spans")
         return rows.mapInArrow(_render(renderer or render), "doc_id bigint, html string")
 
 

@@ -9,11 +9,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from spanforge.functions.text import tokens
-from spanforge.sources.index import AnnotationType, IndexConfig, SpanIndex, document_annotations, document_table, posting_table
-from spanforge.sources.storage import exists, shared_folder, signature
+from spanforge.sources.index import AnnotationType, IndexConfig, SpanIndex, document_annotations, document_table, posting_table, spread
+from spanforge.sources.storage import exists, shared_folder, signature, size
 
 #: Part of the key of a stored index: changes with what is stored.
-LAYOUT = "1"
+LAYOUT = "2"
 
 CONFIG = IndexConfig(
     token_features={"string": "lower", "plain": "accents"},
@@ -32,17 +32,17 @@ _OPEN: dict[tuple[str, str], SpanIndex] = {}
 
 
 def _stored(spark: SparkSession, config: IndexConfig, raw: Callable[[], SpanIndex], *tables: str) -> SpanIndex:
-    """The index built once for the files of its tables, in the shared folder."""
+    """The index of the files of its tables in the shared folder, each part built once."""
     made_of = "\n".join([LAYOUT, repr(config), *(signature(spark, t) for t in tables)])
     path = f"{shared_folder(spark)}/index-{hashlib.sha256(made_of.encode()).hexdigest()[:24]}"
     key = (spark.sparkContext.applicationId, path)
-    if key not in _OPEN or not exists(spark, f"{path}/layout/_SUCCESS"):
+    if key not in _OPEN or not exists(spark, f"{path}/layout"):
         _OPEN[key] = raw().stored(path)
     return _OPEN[key]
 
 
 def corpus_index(spark: SparkSession, sf_dir: str) -> SpanIndex:
-    """The index of ``raw_corpus_index``, stored: built by the first query on a folder, read by all later ones."""
+    """The index of ``raw_corpus_index``, stored: a part is built by the first query that needs it, and read by all later ones."""
     return _stored(spark, CONFIG, lambda: raw_corpus_index(spark, sf_dir), *(f"{sf_dir}/{t}.parquet" for t in ("documents", "labels")))
 
 
@@ -52,7 +52,8 @@ def conversation_index(spark: SparkSession, sf_dir: str) -> SpanIndex:
 
 def raw_corpus_index(spark: SparkSession, sf_dir: str) -> SpanIndex:
     """Documents with their language, source and size as document-mode annotations, labels, and sizes as measurements."""
-    texts = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    path = f"{sf_dir}/documents.parquet"
+    texts = spread(spark.read.parquet(path), size(spark, path))
     documents = document_table(texts, {"lang": F.col("lang"), "source": F.col("source"), "n_chars": F.col("n_chars")})
     # lengths come from the texts themselves, so that a constraint on metadata reads no token table
     sized = texts.select("*", F.size(tokens(F.coalesce("text", F.lit("")))).alias("n_tokens"))

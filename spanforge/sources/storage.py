@@ -67,6 +67,18 @@ def remove(spark: SparkSession, path: str) -> None:
     files.delete(at, True)
 
 
+def parent(spark: SparkSession, path: str) -> None:
+    """Make the folder that the path is in."""
+    files, at = _files(spark, path)
+    files.mkdirs(at.getParent())
+
+
+def size(spark: SparkSession, path: str) -> int:
+    """Bytes of the files under a path."""
+    files, at = _files(spark, path)
+    return files.getContentSummary(at).getLength() if files.exists(at) else 0
+
+
 def rename(spark: SparkSession, path: str, to: str) -> bool:
     """Atomic where the file system's rename is; False if another one was first."""
     files, at = _files(spark, path)

@@ -1,8 +1,10 @@
 """The engine against a plain model of its operators on random spans, and its edge cases."""
 
+import glob
 import http.server
 import itertools
 import json
+import os
 import random
 import re
 import threading
@@ -22,7 +24,7 @@ from spanforge.plans.ast import And, Annotation, Const, Constraint, Contains, Ga
 from spanforge.plans.compile import Compiler, leaves
 from spanforge.queries import ORACLE_SQL, QUERIES
 from spanforge.sources.corpus import corpus_index
-from spanforge.sources.index import AnnotationType, IndexConfig, SpanIndex, document_annotations, document_table, federated, posting_table, span_annotations
+from spanforge.sources.index import AnnotationType, IndexConfig, SpanIndex, document_annotations, document_table, federated, posting_table, span_annotations, spread
 from spanforge.sources.sparql import SparqlEndpoint
 from spanforge.sources.storage import shared_folder
 
@@ -386,3 +388,39 @@ def test_combined_terms_of_the_whole_table(spark):
             assert seen == every - set(t.STOP_WORDS)
         elif name != "terms_whole_and_sum":
             assert seen >= every
+
+
+def test_parts_of_a_stored_index(spark, tmp_path):
+    """A query builds the parts that it needs and no other, in one pass, shuffling no postings."""
+    texts = [(k, f"the thing Für {k} " * 3) for k in range(40)]
+    config = IndexConfig({"string": "lower", "plain": "accents"}, {"Doc": AnnotationType(nominal=("lang",), document_mode=True)})
+    docs = document_table(spread(spark.createDataFrame(texts, "doc_id bigint, text string"), 3 << 20))
+    features = {"plain": F.col("tokens")}
+    raw = SpanIndex(config, docs, posting_table(docs, config, features), {"Doc": document_annotations(docs, docs.select("doc_id", F.lit("en").alias("lang")), config.annotation_types["Doc"])}, features=features)
+    path = str(tmp_path / "index")
+    there = lambda: sorted(os.path.relpath(x, path) for x in glob.glob(f"{path}/*/*=*") if "bucket" not in x) + [x for x in ("documents",) if os.path.exists(f"{path}/{x}")]
+    index = raw.stored(path)
+    assert Search(index, "{Doc lang=en}").hits().count() == 40 and there() == ["annotations/ann_type=Doc"]
+    assert {r.term: r["count"] for r in t.term_type(index, "plain").collect()}["fur"] == 120 and there() == ["annotations/ann_type=Doc", "lexicon/feature=plain"]
+    assert Search(index, "the thing").hits().count() == 120 and there() == ["annotations/ann_type=Doc", "lexicon/feature=plain", "postings/feature=string"]
+    assert bag(Search(index, "plain:fur").hits()) == bag(Search(raw, "plain:fur").hits())
+    lexicon = {r.term: (r["count"], r.documents) for r in index.lexicon_of("string").collect()}
+    assert lexicon["thing"] == (120, 40) and lexicon["7"] == (3, 1) and sum(c for c, _ in lexicon.values()) == 480
+    # a saved one has them all, and texts stand in for the arrays of their tokens
+    raw.save(path)
+    assert len(there()) == 6 and "tokens" not in spark.read.parquet(f"{path}/documents").columns
+    assert [r.tokens for r in SpanIndex.load(spark, path, config).documents.orderBy("doc_id").select("tokens").collect()] == [r.tokens for r in docs.orderBy("doc_id").select("tokens").collect()]
+    # the texts are shuffled once, and made into tokens once
+    made = plan(raw.stored(str(tmp_path / "other")).raw.documents.select("doc_id", F.posexplode_outer("tokens")))
+    assert made.count("Exchange") == 1
+    text = plan(posting_table(docs, config, features, "string"))
+    assert text.count("regexp_extract_all") == 1 and text.count("Exchange") == 1
+
+
+def test_a_text_is_split_once_for_its_hits(spark):
+    index = make(spark, [(1, "One, two  <three> two."), (2, "x"), (3, "two")])
+    rows = sorted(map(tuple, Search(index, "two").hit_texts(1).collect()))
+    assert rows == [(1, 2, 1, ",", "two", "<"), (1, 6, 1, ">", "two", "."), (3, 0, 1, "", "two", "")]
+    text = plan(Search(index, "two").hit_texts(0))
+    # what is joined is a document's text, and its tokens are made above the join
+    assert text.index("regexp_extract_all") < text.index("Join")
