@@ -51,3 +51,29 @@ def test_compaction_after_some_batches(spark, tmp_path):
     if last > upto:
         job.append(spark.createDataFrame([(k, "again") for k in range(25, 30)], "doc_id bigint, text string"), last)
         assert job.index(spark).documents.count() <= 30
+
+
+def test_compaction_leaves_full_parts_and_shuffles_no_batch_by_term(spark, tmp_path):
+    """What is written again doesn't grow with the batches before; a feature's row is the first one's where both agree."""
+    path = str(tmp_path / "index")
+    config = IndexConfig({"string": "lower", "plain": "accents"})
+    job = Ingest(path, config, features={"plain": F.col("tokens")})
+    seen = []
+    for n in range(6):
+        job.append(spark.createDataFrame([(10 * n + k, f"Für the and {k}") for k in range(10)], "doc_id bigint, text string"), n)
+        compact(spark, path, full=1)
+        seen.append(manifest(spark, path)["parts"])
+        assert len(hits(job.index(spark))) == 10 * (n + 1)
+    # every batch is full here: none was written again, and none is lost
+    assert seen[-1] == [f"batch={n}" for n in range(6)] == [f"batch={n}" for n in batches(spark, path)]
+    compact(spark, path)
+    job.append(spark.createDataFrame([(60, "für")], "doc_id bigint, text string"), 6)
+    compact(spark, path)
+    job.append(spark.createDataFrame([(61, "fur")], "doc_id bigint, text string"), 7)
+    compact(spark, path)
+    # small ones are merged, and a term is found under both features
+    index = job.index(spark)
+    assert len(manifest(spark, path)["parts"]) < 8 and index.documents.count() == 62
+    assert len(hits(index, "plain:für")) == 62 and len(hits(index, "für")) == 61 and len(hits(index, "fur")) == 1
+    stored = spark.read.parquet(f"{path}/postings-by-hash/batch=7")
+    assert [(r.feature, r.term, r.also) for r in stored.collect()] == [("string", "fur", 2)]
